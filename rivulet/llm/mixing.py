@@ -98,7 +98,7 @@ def _mixed(x: np.ndarray, key: np.uint64) -> np.ndarray:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, bucket, row): what the packing needs; `row` tells rows with the same id apart."""
+    """(doc_id, source, size, bucket): what the packing needs."""
     rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
     at = F.xxhash64("doc_id", "size")
     return rows.withColumn("bucket", F.pmod(at, F.lit(BUCKETS)))

@@ -50,7 +50,7 @@ def search_block(q_id: np.ndarray, q: np.ndarray, x_id: np.ndarray, x: np.ndarra
         low = np.maximum(low - slack, 0)
         bound = (qn[i] + xn - low * low) / 2
         best, taken = np.empty(0), np.empty(0, np.int64)
-        begin, size = 0, CHUNK
+        size = CHUNK
         rest = np.arange(len(x))
         while len(rest):
             if len(rest) > size:  # the `size` largest bounds, ties and all, then the others
@@ -65,7 +65,6 @@ def search_block(q_id: np.ndarray, q: np.ndarray, x_id: np.ndarray, x: np.ndarra
             if len(best) == k:
                 rest = rest[bound[rest] >= best[-1]]  # an equal score may still win by its id
             size *= 4
-        del begin
         yield np.full(len(taken), q_id[i]), x_id[taken], best
 
 
