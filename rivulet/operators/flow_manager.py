@@ -127,6 +127,22 @@ def layer_bucket(rows: Iterator[tuple], slots: int) -> Iterator[tuple]:
         yield f, "resident", seq, ts
 
 
+def _layer(i: int, k: int, slots: int):
+    """The i-th layer, a bucket at a time: rows with an outcome pass, `next` rows are the flows' next packets."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left = pdf["outcome"].notna() & (pdf["outcome"] != "next")
+        here = pdf[~left].sort_values("seq")
+        got = layer_bucket(zip(here["flow_id"], here["outcome"].isna(), here["seq"], here["ts_us"], strict=True), slots)
+        ended = pd.DataFrame(list(got), columns=["flow_id", "outcome", "seq", "ts_us"])
+        moved = ended["outcome"] == "moved"
+        ended["n_pkts"] = i + moved.astype(int)
+        ended["outcome"] = ended["outcome"].where(~moved, "collected" if i == k - 1 else None)
+        return pd.concat([pdf.loc[left, list(ended.columns)], ended], ignore_index=True)
+
+    return run
+
+
 def hierarchical(packets: DataFrame, layers: list[int], slots: int, k: int) -> DataFrame:
     """k - 1 layers, the i-th for flows with i packets; a flow's next packet moves it on, at the k-th it is collected.
 
@@ -139,17 +155,7 @@ def hierarchical(packets: DataFrame, layers: list[int], slots: int, k: int) -> D
         nexts = p.where(F.col("rn") == i + 1).select("flow_id", "seq", "ts_us", F.lit("next").alias("outcome"), F.lit(0).alias("n_pkts"))
         at = flows.unionByName(nexts).withColumn("bucket", bucket("flow_id", max(1, layers[i - 1]), f"layer{i}"))
 
-        def run(pdf: pd.DataFrame, i: int = i) -> pd.DataFrame:
-            left = pdf["outcome"].notna() & (pdf["outcome"] != "next")
-            here = pdf[~left].sort_values("seq")
-            got = layer_bucket(zip(here["flow_id"], here["outcome"].isna(), here["seq"], here["ts_us"], strict=True), slots)
-            ended = pd.DataFrame(list(got), columns=["flow_id", "outcome", "seq", "ts_us"])
-            moved = ended["outcome"] == "moved"
-            ended["n_pkts"] = i + moved.astype(int)
-            ended["outcome"] = ended["outcome"].where(~moved, "collected" if i == k - 1 else None)
-            return pd.concat([pdf.loc[left, list(ended.columns)], ended], ignore_index=True)
-
-        flows = at.groupBy("bucket").applyInPandas(run, "flow_id string, outcome string, seq long, ts_us long, n_pkts int")
+        flows = at.groupBy("bucket").applyInPandas(_layer(i, k, slots), "flow_id string, outcome string, seq long, ts_us long, n_pkts int")
     return flows
 
 
