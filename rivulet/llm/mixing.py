@@ -9,6 +9,7 @@ slots join the blocks by (source, index).
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,6 +27,7 @@ SHARD_BLOCKS, MAX_SHARDS = 4_096, 1_024
 #: Documents of a source fall into this many ranges whose sums are added up first, so that no source is one task's.
 BUCKETS = 1_024
 SEED = 17
+_WORD = re.compile(WORD)
 
 
 def words(text: Column) -> Column:
@@ -97,11 +99,11 @@ def _mixed(x: np.ndarray, key: np.uint64) -> np.ndarray:
         return (x ^ (x >> np.uint64(29))) >> np.uint64(8)
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, bucket): what the packing needs."""
-    rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
-    at = F.xxhash64("doc_id", "size")
-    return rows.withColumn("bucket", F.pmod(at, F.lit(BUCKETS)))
+def sized(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """(doc_id, source, size, th, bucket): what the packing needs; `whole` adds __doc, the row as it was."""
+    kept = [F.struct(*(docs[c] for c in docs.columns)).alias("__doc")] if whole else []
+    rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("text").alias("th"), *kept)
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(BUCKETS)))
 
 
 def source_table(rows: DataFrame) -> list[tuple[str | None, int]]:
@@ -113,17 +115,23 @@ def source_table(rows: DataFrame) -> list[tuple[str | None, int]]:
 def offsets(rows: DataFrame) -> DataFrame:
     """Adds start, the word of its source at which a row begins, in two steps: sums of buckets, then rows in a bucket.
 
-    Rows are ordered by (bucket, doc_id, size); equal ones are alike, so any order of them gives the same result.
+    Rows are ordered by (bucket, doc_id, size, hash of text); equal ones are alike, so any order of them gives the
+    same result.
     """
     sums = rows.groupBy("__s", "bucket").agg(F.sum("size").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("__s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # At most BUCKETS rows for each source.
     sums = cut(sums.select(F.col("__s").alias("s2"), F.col("bucket").alias("b2"), before.alias("base")), "bases")
-    inside = F.sum("size").over(Window.partitionBy("__s", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    inside = F.sum("size").over(Window.partitionBy("__s", "bucket").orderBy("doc_id", "size", "th").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     run = rows.withColumn("inside", inside)
     return run.join(sums, (run["__s"] == sums["s2"]) & (run["bucket"] == sums["b2"])).withColumn("start", F.col("base") + F.col("inside")).drop("inside", "base", "s2", "b2")
 
 
+def _numbered(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Adds the number of a row's source, its words and its target; `known` has a row for each source."""
+    return rows.join(F.broadcast(known), rows["source"].eqNullSafe(known["__source"])).drop("__source")
+
+
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, pieces, slots) of a mix.
 
@@ -131,6 +139,11 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> tu
     words of it in the block. slots: shard, slot, source number, pass, block. Null ids, sources and texts are kept;
     columns of other names are ignored. An empty table gives empty results.
     """
+    documents, pieces, slots, _ = _mix(docs, block_words, seed)
+    return documents, pieces, slots
+
+
+def _mix(docs: DataFrame, block_words: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     spark = docs.sparkSession
     rows = cut(sized(docs), "sizes")
     sources = source_table(rows)
@@ -139,7 +152,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> tu
     blocks = -(-sizes // block_words)
     slots = np.where(blocks > 0, np.minimum(np.rint(target * blocks / np.maximum(sizes, 1)), MAX_PASSES * blocks), 0).astype(np.int64)
     known = spark.createDataFrame([(i, x, int(n), float(t)) for i, ((x, n), t) in enumerate(zip(sources, target, strict=True))], "__s int, __source string, source_size long, target double")
-    rows = cut(rows.join(F.broadcast(known), rows["source"].eqNullSafe(known["__source"])).drop("__source"), "sourced")  # a row for each source
+    rows = cut(_numbered(rows, known), "sourced")
     shards = int(min(MAX_SHARDS, max(1, -(-int(slots.sum()) // SHARD_BLOCKS))))
     counts = draws(slots, shards, seed)
     starts = np.cumsum(counts, 0) - counts
@@ -172,7 +185,41 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> tu
     taken = taken.select(F.col("s").alias("t_s"), F.col("doc_id").alias("t_id"), F.col("start").alias("t_start"), F.col("taken"))
     words_of = run.join(taken, (run["__s"] == taken["t_s"]) & (run["start"] == taken["t_start"]) & (run["size"] > 0), "left")
     documents = words_of.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
-    return documents, pieces, drawn
+    return documents, pieces, drawn, known
+
+
+def _words_of(text: pd.Series, n: pd.Series, pieces: pd.Series) -> pd.Series:
+    """The text from the first to the last word of each unbroken stretch of pieces (first, n), stretches on lines of
+    their own; a text whose every word is taken as it is."""
+    out = []
+    for t, size, found in zip(text, n, pieces, strict=True):
+        runs: list[list[int]] = []
+        for p in found:
+            if runs and p["first"] == runs[-1][1]:
+                runs[-1][1] += p["n"]
+            else:
+                runs.append([p["first"], p["first"] + p["n"]])
+        if runs == [[0, size]]:
+            out.append(t)
+        else:
+            spans = [m.span() for m in _WORD.finditer(t)]
+            out.append("\n".join(t[spans[a][0] : spans[b - 1][1]] for a, b in runs))
+    return pd.Series(out)
+
+
+def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+    """The mix as documents: a row for each document and pass that takes words of it, with the columns of `docs`.
+
+    text has the words taken, n_chars (where there is such a column) its length. Documents without words are in no block.
+    """
+    _, pieces, drawn, known = _mix(docs, block_words, seed)
+    got = pieces.join(drawn.select("s", "block", "pass"), ["s", "block"]).groupBy("s", "start", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "n"))).alias("found"))
+    got = got.select(F.col("s").alias("g_s"), F.col("start").alias("g_start"), "found")
+    rows = offsets(_numbered(sized(docs, whole=True), known)).where("size > 0")
+    both = rows.join(got, (rows["__s"] == got["g_s"]) & (rows["start"] == got["g_start"]))
+    taken = both.select("__doc", F.pandas_udf(_words_of, "string")(F.col("__doc.text"), "size", "found").alias("__text"))
+    new = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
+    return taken.select(*(new[c].alias(c) if c in new else F.col("__doc")[c].alias(c) for c in docs.columns))
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
