@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,10 +77,40 @@ def synthetic_rates(labelled: DataFrame, fnr: float, fpr: float) -> DataFrame:
     return labelled.withColumn("predicted", F.when(F.col("heavy") == 1, u > fnr).otherwise(u < fpr).cast("int"))
 
 
-def synthetic_scores(labelled: DataFrame, alpha: float) -> DataFrame:
-    """Adds proba: Beta(alpha, 1)-distributed by a hash of the flow, turned about for elephants; alpha sets how apart."""
-    x = F.pow(uniform("flow_id", "ap"), F.lit(1.0 / alpha))
-    return labelled.withColumn("proba", F.round(F.when(F.col("heavy") == 1, 1 - x).otherwise(x), 5))
+def key_number(flow: str) -> int:
+    """The 104-bit number of a flow id."""
+    src, dst, sport, dport, protocol = flow.split(",")
+    address = lambda x: int.from_bytes(bytes(map(int, x.split("."))), "big")
+    return address(src) << 72 | address(dst) << 40 | int(sport) << 24 | int(dport) << 8 | int(protocol)
+
+
+def synthetic_scores(labelled: DataFrame, alpha: float, beta: float = 3.0) -> DataFrame:
+    """Adds proba, Beta(alpha, beta) for mice and one less that for elephants, drawn for each flow from a seed that is
+    a hash of it: the same on each run. alpha sets how far the classes are apart."""
+
+    def draw(flow: pd.Series, heavy: pd.Series) -> pd.Series:
+        out = []
+        for f, h in zip(flow, heavy, strict=True):
+            seed = hashlib.sha256(str(key_number(f)).encode()).digest()[:4]
+            x = np.random.RandomState(int.from_bytes(seed, "big")).beta(alpha, beta)
+            out.append(1 - x if h == 1 else x)
+        return pd.Series(out)
+
+    return labelled.withColumn("proba", F.round(F.pandas_udf(draw, "double")("flow_id", "heavy"), 5))
+
+
+def calibrate_alpha(labelled: DataFrame, alphas: list[float]) -> list[tuple[float, float]]:
+    """(alpha, average precision) of the synthetic classifier for each alpha."""
+    from rivulet.operators.metrics import average_precision
+
+    return [(a, average_precision(synthetic_scores(labelled, a)).first()["ap"]) for a in alphas]
+
+
+def rate_table(labelled: DataFrame, predicted: float, fnrs: list[float]) -> DataFrame:
+    """(fnr, fpr): the FPR that goes with each FNR if a share `predicted` is predicted; the share of elephants is measured."""
+    heavy = labelled.agg(F.avg("heavy").alias("h"))
+    grid = heavy.select("h", F.explode(F.array(*(F.lit(f) for f in fnrs))).alias("fnr"))
+    return grid.select("fnr", ((predicted - F.col("h") * (1 - F.col("fnr"))) / (1 - F.col("h"))).alias("fpr"))
 
 
 def vote(tree_scores: DataFrame, threshold: float) -> DataFrame:
@@ -184,10 +216,9 @@ def meta_cost(probabilities: DataFrame, cost: tuple[tuple[float, float], tuple[f
 
 
 def power_space(low: float, high: float, n: int, power: float) -> Column:
-    """n points from low to high, evenly spaced in their signed root: an array."""
-    root = lambda x: abs(x) ** (1 / power) * (1 if x >= 0 else -1)
-    a, b = root(low), root(high)
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.signum(a + (b - a) * i / (n - 1)) * F.pow(F.abs(a + (b - a) * i / (n - 1)), F.lit(power)))
+    """n points from low to high, denser about the middle: signed powers of evenly spaced ones, scaled. An array."""
+    at = lambda i: -1.0 + 2.0 * i / (n - 1)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.signum(at(i)) * F.pow(F.abs(at(i)), F.lit(power)) * ((high - low) / 2) + (low + high) / 2)
 
 
 def coupled_fpr(fnr: Column, heavy: float, predicted: float) -> Column:

@@ -11,6 +11,7 @@ from rivulet.functions import keys
 from rivulet.functions.keys import KEY, flow_id
 from rivulet.operators import flow_manager, flows, labels, metrics, models, pipelines, sketches
 from rivulet.sources.packets import key_records, packets, table
+from rivulet.streaming import flows as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -61,7 +62,9 @@ def r6(c, name: str):
     return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name)
 
 
-FK = flow_id().alias("flow_id")
+def fk():
+    return flow_id().alias("flow_id")
+
 
 # -- sources and sinks -------------------------------------------------------------------------------------------------
 
@@ -108,7 +111,7 @@ def parse_report(spark, d):
 
 @query("SELECT DISTINCT flow_id FROM packets")
 def flow_id_string(spark, d):
-    return packets(spark, d).select(*KEY).distinct().select(FK)
+    return packets(spark, d).select(*KEY).distinct().select(fk())
 
 
 @query(f"SELECT DISTINCT (src_ip << 32) | dst_ip AS high, (CAST(src_port AS BIGINT) << 24) | (CAST(dst_port AS BIGINT) << 8) | protocol AS low FROM packets".replace("(src_ip << 32)", "CAST((CAST(src_ip AS HUGEINT) << 32) AS BIGINT)"))
@@ -168,13 +171,13 @@ _VEC = " || ".join(f"CAST(({c} >> {n - 1 - k}) & 1 AS VARCHAR)" for c, n in (("s
 
 @query(f"SELECT DISTINCT flow_id, {_VEC} || CAST(CAST(protocol = 6 AS INTEGER) AS VARCHAR) || CAST(CAST(protocol = 17 AS INTEGER) AS VARCHAR) || CAST(CAST(protocol = 1 AS INTEGER) AS VARCHAR) AS vec FROM packets")
 def key_vector(spark, d):
-    v = packets(spark, d).select(*KEY).distinct().select(FK, keys.model_input([]).alias("v"))
+    v = packets(spark, d).select(*KEY).distinct().select(fk(), keys.model_input([]).alias("v"))
     return v.select("flow_id", F.array_join(F.transform("v", lambda x: x.cast("int").cast("string")), "").alias("vec"))
 
 
 @query(f"SELECT DISTINCT flow_id, {_VEC} || '1' AS vec FROM packets")
 def key_vector_plain(spark, d):
-    v = packets(spark, d).select(*KEY).distinct().select(FK, keys.model_input([], key_only=True).alias("v"))
+    v = packets(spark, d).select(*KEY).distinct().select(fk(), keys.model_input([], key_only=True).alias("v"))
     return v.select("flow_id", F.array_join(F.transform("v", lambda x: x.cast("int").cast("string")), "").alias("vec"))
 
 
@@ -194,9 +197,9 @@ def clean_non_finite(spark, d):
     return table(spark, d, "events").select("event_id", F.when(F.abs(x) != float("inf"), x).alias("clean"))
 
 
-@query("SELECT CAST(i AS INTEGER) AS i, round(sign(-2 + 5 * i / 9.0) * pow(abs(-2 + 5 * i / 9.0), 3.0), 6) AS x FROM range(10) t(i)")
+@query("SELECT CAST(i AS INTEGER) AS i, round(sign(-1 + 2 * i / 9.0) * pow(abs(-1 + 2 * i / 9.0), 2.0) * 1.245 + 1.255, 6) AS x FROM range(10) t(i)")
 def power_space(spark, d):
-    a = spark.range(1).select(F.posexplode(models.power_space(-8.0, 27.0, 10, 3.0)).alias("i", "x"))
+    a = spark.range(1).select(F.posexplode(models.power_space(0.01, 2.5, 10, 2.0)).alias("i", "x"))
     return a.select("i", r6("x", "x"))
 
 
@@ -212,32 +215,32 @@ def coupled_rates(spark, d):
 
 @query("SELECT flow_id, size FROM sizes")
 def flow_size(spark, d):
-    return flows.flow_size(packets(spark, d)).select(FK, "size")
+    return flows.flow_size(packets(spark, d)).select(fk(), "size")
 
 
 @query("SELECT flow_id, min(ts_us) AS first_us, max(ts_us) AS last_us, CAST(count(*) AS BIGINT) AS size FROM packets GROUP BY flow_id")
 def flow_time_bounds(spark, d):
-    return flows.time_bounds(packets(spark, d)).select(FK, "first_us", "last_us", "size")
+    return flows.time_bounds(packets(spark, d)).select(fk(), "first_us", "last_us", "size")
 
 
 @query("SELECT seq, flow_id, CAST(rn AS INTEGER) AS rn, gap_us FROM ordered")
 def flow_iat(spark, d):
-    return flows.ordered(packets(spark, d)).select("seq", FK, "rn", "gap_us")
+    return flows.ordered(packets(spark, d)).select("seq", fk(), "rn", "gap_us")
 
 
 @query("SELECT flow_id, round(coalesce(min(gap_us) / 1e6, -1), 6) AS min_iat, round(coalesce(max(gap_us) / 1e6, -1), 6) AS max_iat FROM ordered GROUP BY flow_id")
 def iat_min_max(spark, d):
-    return flows.gap_bounds(packets(spark, d)).select(FK, r6("min_iat", "min_iat"), r6("max_iat", "max_iat"))
+    return flows.gap_bounds(packets(spark, d)).select(fk(), r6("min_iat", "min_iat"), r6("max_iat", "max_iat"))
 
 
 @query("SELECT flow_id, array_to_string(list(ts_us ORDER BY seq), ' ') AS times FROM packets GROUP BY flow_id")
 def time_lists(spark, d):
-    return flows.time_lists(packets(spark, d)).select(FK, F.array_join(F.transform("times_us", lambda x: x.cast("string")), " ").alias("times"))
+    return flows.time_lists(packets(spark, d)).select(fk(), F.array_join(F.transform("times_us", lambda x: x.cast("string")), " ").alias("times"))
 
 
 @query("SELECT flow_id, array_to_string(list(gap_us ORDER BY seq), ' ') AS gaps FROM ordered WHERE gap_us IS NOT NULL GROUP BY flow_id")
 def iat_lists(spark, d):
-    return flows.gap_lists(packets(spark, d)).select(FK, F.array_join(F.transform("gaps_us", lambda x: x.cast("string")), " ").alias("gaps"))
+    return flows.gap_lists(packets(spark, d)).select(fk(), F.array_join(F.transform("gaps_us", lambda x: x.cast("string")), " ").alias("gaps"))
 
 
 def _oracle_row(n):
@@ -250,13 +253,13 @@ def _oracle_row(n):
 @query(_oracle_row(5))
 def oracle_row_5(spark, d):
     o = flows.oracle_row(packets(spark, d), 5)
-    return o.select(FK, *(r6(c, c) if "iat" in c or c.endswith("_ts") else F.col(c) for c in o.columns if c not in KEY))
+    return o.select(fk(), *(r6(c, c) if "iat" in c or c.endswith("_ts") else F.col(c) for c in o.columns if c not in KEY))
 
 
 @query("SELECT flow_id, round(avg(size), 6) AS mean_size, round(stddev_pop(size), 4) AS std_size, round(coalesce(avg(gap_us / 1e6), 0), 4) AS mean_iat, round(coalesce(stddev_pop(gap_us / 1e6), 0), 2) AS std_iat FROM ordered WHERE rn <= 5 GROUP BY flow_id HAVING count(*) = 5")
 def first5_features(spark, d):
     f = flows.first_k_features(packets(spark, d), 5)
-    return f.select(FK, r6("mean_size", "mean_size"), F.round("std_size", 4).alias("std_size"), F.round("mean_iat", 4).alias("mean_iat"), F.round("std_iat", 2).alias("std_iat"))
+    return f.select(fk(), r6("mean_size", "mean_size"), F.round("std_size", 4).alias("std_size"), F.round("mean_iat", 4).alias("mean_iat"), F.round("std_iat", 2).alias("std_iat"))
 
 
 def _seq_features(lo, hi):
@@ -272,7 +275,7 @@ def _seq_features(lo, hi):
 def seq_agg_features(spark, d):
     f = flows.sequence_features(packets(spark, d).withColumn("size", F.col("size").cast("double")), 2, 6)
     dig = lambda c: 6 if c.rpartition("_")[2] in ("min", "max", "sum") else 2 if c.startswith("iat") else 4
-    return f.select(FK, *(F.round(c, dig(c)).alias(c) for c in f.columns if c not in KEY))
+    return f.select(fk(), *(F.round(c, dig(c)).alias(c) for c in f.columns if c not in KEY))
 
 
 _BIT = lambda b: f"CAST(flags >= 64 OR (flags & {b}) <> 0 AS INTEGER)"
@@ -281,7 +284,7 @@ _BIT = lambda b: f"CAST(flags >= 64 OR (flags & {b}) <> 0 AS INTEGER)"  # noqa:
 @query(f"SELECT flow_id, CAST(CASE WHEN any_value(protocol) = 6 THEN sum({_BIT(2)} * {_BIT(16)}) ELSE -1 END AS BIGINT) AS count_synack, CAST(CASE WHEN any_value(protocol) = 6 THEN sum(greatest({_BIT(8)}, {_BIT(4)})) ELSE -1 END AS BIGINT) AS count_pshecerst FROM ordered WHERE rn < 6 GROUP BY flow_id")
 def flag_counts(spark, d):
     f = flows.flag_counts(packets(spark, d), 6)
-    return f.select(FK, F.col("count_synack").cast("long").alias("count_synack"), F.col("count_pshecerst").cast("long").alias("count_pshecerst"))
+    return f.select(fk(), F.col("count_synack").cast("long").alias("count_synack"), F.col("count_pshecerst").cast("long").alias("count_pshecerst"))
 
 
 @query(f"{LABELLED} SELECT flow_id, size, cutoff, heavy FROM labelled")
@@ -299,14 +302,14 @@ _DAYS = "days AS (SELECT CAST(floor(ts_us / 86400000000) AS BIGINT) AS day, flow
 
 @query(f"{_DAYS} SELECT d.day, d.flow_id, d.size, CAST(d.size > c.cutoff AS INTEGER) AS heavy FROM days d JOIN (SELECT day, quantile_cont(size, 0.95) AS cutoff FROM days GROUP BY day) c ON d.day = c.day")
 def per_day_cutoff(spark, d):
-    s = packets(spark, d).groupBy(F.floor(F.col("ts_us") / 86_400_000_000).alias("day"), FK).agg(F.count("*").alias("size"))
+    s = packets(spark, d).groupBy(F.floor(F.col("ts_us") / 86_400_000_000).alias("day"), fk()).agg(F.count("*").alias("size"))
     return labels.label_elephants(s, 95, ["day"]).select("day", "flow_id", "size", "heavy")
 
 
 @query(f"SELECT flow_id, q, round(list_sort(list(gap_us))[CAST(floor(q * (count(*) - 1)) AS INTEGER) + 1] / 1e6, 6) AS iat FROM ordered, {QSQL} WHERE gap_us IS NOT NULL GROUP BY flow_id, q")
 def iat_floor_quantiles(spark, d):
     g = flows.ordered(packets(spark, d)).where("gap_us IS NOT NULL").groupBy(*KEY).agg(*(labels.floor_rank(F.col("gap_us"), q).alias(f"q{k}") for k, q in enumerate(QS)))
-    return g.select(FK, F.explode(F.array(*(F.struct(F.lit(q).alias("q"), F.round(F.col(f"q{k}") / 1e6, 6).alias("iat")) for k, q in enumerate(QS)))).alias("x")).select("flow_id", "x.q", "x.iat")
+    return g.select(fk(), F.explode(F.array(*(F.struct(F.lit(q).alias("q"), F.round(F.col(f"q{k}") / 1e6, 6).alias("iat")) for k, q in enumerate(QS)))).alias("x")).select("flow_id", "x.q", "x.iat")
 
 
 @query("SELECT size, CAST(n AS BIGINT) AS n_flows, round(sum(n) OVER (ORDER BY size) / sum(n) OVER (), 6) AS cdf FROM (SELECT size, count(*) AS n FROM sizes GROUP BY size)")
@@ -352,7 +355,7 @@ def max_iat(spark, d):
 
 @query("SELECT flow_id, min(ts_us) AS first_us, max(ts_us) AS kth_us FROM ordered WHERE rn <= 5 GROUP BY flow_id")
 def cache_span(spark, d):
-    return flows.cache_span(packets(spark, d)).select(FK, "first_us", "kth_us")
+    return flows.cache_span(packets(spark, d)).select(fk(), "first_us", "kth_us")
 
 
 @query("SELECT protocol, quantile_cont(size, 0.5) AS median, round(avg(size), 6) AS mean FROM sizes GROUP BY protocol")
@@ -397,7 +400,7 @@ def flow_priority(spark, d):
 
 @query("SELECT flow_id FROM sizes WHERE protocol = 6 AND size >= 10 INTERSECT SELECT flow_id FROM packets WHERE flags >= 90")
 def flows_intersect(spark, d):
-    return sized(spark, d).where("protocol = 6 AND size >= 10").select("flow_id").intersect(packets(spark, d).where("flags >= 90").select(FK))
+    return sized(spark, d).where("protocol = 6 AND size >= 10").select("flow_id").intersect(packets(spark, d).where("flags >= 90").select(fk()))
 
 
 @query(f"{LABELLED} SELECT flow_id FROM sizes EXCEPT SELECT flow_id FROM labelled WHERE heavy = 1")
@@ -583,7 +586,7 @@ def infinite_fm_outcome(spark, d):
 
 @query("SELECT flow_id, CAST(count(*) AS BIGINT) AS passed FROM ordered WHERE rn > 5 GROUP BY flow_id")
 def fm_passed_on(spark, d):
-    return flow_manager.passed_on(packets(spark, d), 5).groupBy(FK).agg(F.count("*").alias("passed"))
+    return flow_manager.passed_on(packets(spark, d), 5).groupBy(fk()).agg(F.count("*").alias("passed"))
 
 
 @query("c AS (SELECT flow_id, rn, sum(CAST(rn = 1 AS BIGINT)) OVER (ORDER BY seq) AS c FROM ordered) SELECT flow_id, CAST(max(c) - min(c) AS BIGINT) AS new_flows FROM c WHERE rn IN (1, 5) GROUP BY flow_id HAVING count(*) = 2")
@@ -613,6 +616,30 @@ def eviction_stages(spark, d):
     return o.groupBy("outcome", "n_pkts").agg(F.count("*").alias("n"))
 
 
+@query("SELECT flow_id, round(avg(size), 6) AS mean_size, round(stddev_pop(size), 4) AS std_size, round(coalesce(avg(gap_us / 1e6), 0), 4) AS mean_iat FROM ordered WHERE rn <= 5 GROUP BY flow_id HAVING count(*) = 5")
+def stream_first5_features(spark, d):
+    f = streams.drain(streams.first_k_features(streams.packet_stream(spark, d), 5), streams.work_dir(spark))
+    return f.select("flow_id", r6("mean_size", "mean_size"), F.round("std_size", 4).alias("std_size"), F.round("mean_iat", 4).alias("mean_iat"))
+
+
+@query()
+def stream_fifo_outcome(spark, d):
+    return streams.drain(streams.bounded_manager(streams.packet_stream(spark, d), 16, 4, 5), streams.work_dir(spark))
+
+
+@query("SELECT flow_id, CAST(sum(size) AS BIGINT) AS size FROM sizes GROUP BY flow_id")
+def stream_day_sizes(spark, d):
+    """Daily sizes of the stream, added up; the complete table is written by the last batch."""
+    path = streams.work_dir(spark)
+    daily = streams.windowed_sizes(streams.packet_stream(spark, d), "1 day")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/sizes")
+
+    daily.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/sizes").groupBy(flow_id().alias("flow_id")).agg(F.sum("size").alias("size"))
+
+
 # -- classifiers and their quality -------------------------------------------------------------------------------------
 
 FNR, FPR = 0.2, 0.1
@@ -722,6 +749,16 @@ def tree_sizes(spark, d):
     return models.full_tree_bits(n, 7, 32).select("tree", F.col("inner").alias("inner_nodes"), "leaves", F.col("bits").cast("long").alias("bits"))
 
 
+@query(f"{LABELLED}, h AS (SELECT avg(heavy) AS h FROM labelled) SELECT CAST(f AS DOUBLE) AS fnr, round((0.08 - h * (1 - f)) / (1 - h), 6) AS fpr FROM h, (VALUES (0.0), (0.1), (0.2), (0.5)) AS t(f)")
+def fnr_to_fpr(spark, d):
+    return models.rate_table(labelled(spark, d), 0.08, [0.0, 0.1, 0.2, 0.5]).select("fnr", r6("fpr", "fpr"))
+
+
+@query()
+def synthetic_scores(spark, d):
+    return models.synthetic_scores(labelled(spark, d), 0.5).select("flow_id", "proba")
+
+
 # -- pipelines and errors ----------------------------------------------------------------------------------------------
 
 CONFIG = pipelines.FseConfig(5, R, C, T, TR, TS)
