@@ -2,8 +2,9 @@
 
 1. Each text becomes the set of 64-bit hashes of its distinct word shingles. Texts with the same set are one class.
 2. A fixed-size sketch of how often shingles occur, over all documents, gives one order of all shingles, rare ones
-   first. Two sets can only link if their prefixes in this order share a shingle, so documents that share one are
-   joined into candidate groups. Only connections are kept, never pairs.
+   first. Two sets can only link if their prefixes in this order share a shingle; prefixes that are l - 1 longer share
+   l of them. Sets of which too few prefix shingles occur in any other prefix are out, most of them; the others that
+   share one are joined into candidate groups. Only connections are kept, never pairs.
 3. Each group is searched by itself: an inverted index from shingles to documents; for each document the T shingles
    that a partner must share at least; its longest lists are set aside (DivideSkip), the short ones are merged, and
    what occurs often enough there is probed for in the long ones by binary search. Documents that are connected
@@ -38,6 +39,12 @@ HOT, SALTS = 200_000, 256
 #: Shingles of a group that one task searches at once; larger groups are dealt into blocks.
 GROUP_SHINGLES = 2_000_000
 LEADERS = 4
+#: Prefixes are longer by a SPARE-th of the set, and as many more shingles must be shared.
+SPARE = 10
+#: Prefix shingles that a task compares at once, about; each document's fall into at least LEAST_BUCKETS parts.
+BUCKET_SHINGLES, LEAST_BUCKETS = 1_000_000, 64
+#: Candidate documents, of three numbers each, that are sent to all executors; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: The cost factor of DivideSkip by which lists are split into long and short.
 MU = 0.0085
 #: Lists with fewer entries in all are merged with a heap, others by counting.
@@ -51,7 +58,7 @@ class _Words(dict):
     """Hashes of words, remembered; starts anew when there are many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -85,14 +92,23 @@ def least_shared(n: int, similarity: int = SIMILARITY) -> int:
     return -(-similarity * n // 100)
 
 
+def spare(n: int) -> int:
+    """l of a set of n shingles."""
+    return max(1, n // SPARE)
+
+
 def _cell(s: np.ndarray) -> np.ndarray:
     return (s & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)
 
 
 def prefix(s: np.ndarray, level: np.ndarray, similarity: int = SIMILARITY) -> np.ndarray:
-    """The first shingles of a sorted set in the order of (level, hash); linked sets share one of them."""
+    """The first shingles of a sorted set in the order of (level, hash).
+
+    Of n and m shingles, linked sets share t = max(least_shared(n), least_shared(m)) or more. Their first n - t + l
+    and m - t + l then share l, whatever the order; here l is the smaller one's `spare`.
+    """
     order = np.argsort((level[_cell(s)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8)), kind="stable")
-    return s[order[: len(s) - least_shared(len(s), similarity) + 1]]
+    return s[order[: len(s) - least_shared(len(s), similarity) + spare(len(s))]]
 
 
 def _merged(lists: list[np.ndarray], m: int) -> np.ndarray:
@@ -151,6 +167,15 @@ def search(sets: list[np.ndarray], label: np.ndarray | None = None, similarity:
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def _node(digest: bytes) -> int:
+    """A set's number among candidates. Should two sets have one, they are candidates together."""
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
 def _sets_and_counts(words: int):
     """Rows (doc_id, n, digest of the set), then the task's part of the sketch in rows (n: row of it, digest: counts)."""
 
@@ -158,18 +183,17 @@ def _sets_and_counts(words: int):
         counts = np.zeros(1 << CELL_BITS, np.uint16)
         any_ = False
         for pdf in batches:
-            rows, cells = [], []
+            rows = []
             for text in pdf["text"]:
                 s = shingles(text, words)
-                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest()))
-                cells.append(_cell(s))
-            seen, n = np.unique(np.concatenate(cells), return_counts=True)
-            counts[seen] = np.minimum(counts[seen].astype(np.int64) + n, 65_535)
-            any_ = any_ or len(seen) > 0
-            yield pd.DataFrame({"row": False, "doc_id": pdf["doc_id"].astype("Int64"), "n": [n for n, _ in rows], "key": [k for _, k in rows]})
+                rows.append((len(s), _digest(s)))
+                at = _cell(s)
+                counts[at] += counts[at] < 65_535  # a cell that a set meets twice counts once
+            any_ = any_ or any(n for n, _ in rows)
+            yield pd.DataFrame({"row": False, "doc_id": pdf["doc_id"].astype("Int64"), "n": [n for n, _ in rows], "key": [k for _, k in rows], "node": [_node(k) for _, k in rows]})
         if any_:
             for k in range(0, 1 << CELL_BITS, CELLS_IN_ROW):
-                yield pd.DataFrame({"row": [True], "doc_id": pd.array([None], "Int64"), "n": [k // CELLS_IN_ROW], "key": [zlib.compress(counts[k : k + CELLS_IN_ROW].tobytes(), 1)]})
+                yield pd.DataFrame({"row": [True], "doc_id": pd.array([None], "Int64"), "n": [k // CELLS_IN_ROW], "key": [zlib.compress(counts[k : k + CELLS_IN_ROW].tobytes(), 1)], "node": [0]})
 
     return run
 
@@ -193,22 +217,109 @@ def _levels(parts: DataFrame) -> np.ndarray:
     return out
 
 
+PARTS = "bucket long, hot boolean, nodes binary, sizes binary, times binary, low binary"
+SHARED = "h long, hot boolean, n int, node long"
+
+
+def _prefix_parts(level, words: int, similarity: int, hot_level: int, bits: int):
+    """Prefixes by bucket, the highest `bits` of a hash: for each batch and bucket the sets, their sizes, how many
+    shingles they have there, and the 32 bits of these that come next. Hot shingles go to buckets by set as well."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found: dict[int, tuple[int, np.ndarray]] = {}
+            for text in pdf["text"]:
+                s = shingles(text, words)
+                if len(s):
+                    found[_node(_digest(s))] = (len(s), prefix(s, level.value, similarity))
+            if not found:
+                continue
+            nodes = np.fromiter(found, np.int64, len(found))
+            sizes = np.array([n for n, _ in found.values()], np.int32)
+            h = np.concatenate([p for _, p in found.values()])
+            own = np.repeat(np.arange(len(found)), [len(p) for _, p in found.values()])
+            hot = level.value[_cell(h)] >= hot_level
+            bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
+            salt = (nodes[own].astype(np.uint64) * _MUL) >> np.uint64(64 - 8)
+            bucket[hot] = ((h[hot] ^ (salt[hot] * _MIX)) * _MUL >> np.uint64(64 - bits)).astype(np.int64)
+            for is_hot in (False, True):
+                at = np.flatnonzero(hot == is_hot)
+                if not len(at):
+                    continue
+                at = at[np.argsort(bucket[at], kind="stable")]
+                edges = np.flatnonzero(np.r_[True, bucket[at][1:] != bucket[at][:-1]])
+                rows = []
+                for a, b in zip(edges, [*edges[1:], len(at)], strict=True):
+                    own_ = own[at[a:b]]
+                    first = np.flatnonzero(np.r_[True, own_[1:] != own_[:-1]])
+                    who, times = own_[first], np.diff(np.r_[first, b - a]).astype(np.int32)
+                    part = h[at[a:b]]
+                    low = part if is_hot else ((part >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                    rows.append((int(bucket[at[a]]), is_hot, nodes[who].tobytes(), sizes[who].tobytes(), times.tobytes(), low.tobytes()))
+                yield pd.DataFrame(rows, columns=["bucket", "hot", "nodes", "sizes", "times", "low"])
+
+    return run
+
+
+def _compatible(n: np.ndarray, similarity: int) -> np.ndarray:
+    """For sizes in order within a run: whether each and the next one can link."""
+    return 100 * n[:-1] >= similarity * n[1:]
+
+
+def _shared(similarity: int):
+    """From rows of PARTS sorted by bucket: (h, hot, n, node) of the shingles that another set of fitting size has in
+    its prefix too. Hot shingles all count as shared."""
+
+    def one(rows: list[tuple]) -> pd.DataFrame:
+        out = []
+        for is_hot in (False, True):
+            some = [r for r in rows if r[1] == is_hot]
+            if not some:
+                continue
+            times = np.concatenate([np.frombuffer(r[4], np.int32) for r in some])
+            node = np.repeat(np.concatenate([np.frombuffer(r[2], np.int64) for r in some]), times)
+            n = np.repeat(np.concatenate([np.frombuffer(r[3], np.int32) for r in some]), times)
+            low = np.concatenate([np.frombuffer(r[5], np.uint64 if is_hot else np.uint32) for r in some])
+            h = low.view(np.int64) if is_hot else (np.int64(some[0][0]) << np.int64(32)) | low.astype(np.int64)
+            order = np.lexsort((node, n, h))
+            h, n, node = h[order], n[order], node[order]
+            keep = np.r_[True, (h[1:] != h[:-1]) | (node[1:] != node[:-1])]
+            h, n, node = h[keep], n[keep], node[keep]
+            with_next = (h[1:] == h[:-1]) & _compatible(n, similarity)
+            met = np.r_[with_next, False] | np.r_[False, with_next] | is_hot
+            out.append(pd.DataFrame({"h": h[met], "hot": is_hot, "n": n[met], "node": node[met]}))
+        return pd.concat(out, ignore_index=True)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        for pdf in batches:
+            for row in pdf.itertuples(index=False, name=None):
+                if held and held[0][0] != row[0]:
+                    yield one(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield one(held)
+
+    return run
+
+
 def _chains(similarity: int):
-    """From rows sorted by (h, n, doc_id): a forest of the documents that share h, as far as sizes let them link.
+    """From rows sorted by (h, n, node): a forest of the sets that share h, as far as sizes let them link.
 
-    Where the next document is too large for the one before it, it is so for all before, and the chain is broken.
+    Where the next set is too large for the one before it, it is so for all before, and the chain is broken.
     """
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None
         for pdf in batches:
-            h, n, d = (pdf[c].to_numpy() for c in ("h", "n", "doc_id"))
+            h, n, d = (pdf[c].to_numpy() for c in ("h", "n", "node"))
             if last is not None:
                 h, n, d = np.r_[last[0], h], np.r_[last[1], n], np.r_[last[2], d]
             if not len(h):
                 continue
             last = h[-1], n[-1], d[-1]
-            on = (h[1:] == h[:-1]) & (100 * n[:-1] >= similarity * n[1:]) & (d[1:] != d[:-1])
+            on = (h[1:] == h[:-1]) & _compatible(n, similarity) & (d[1:] != d[:-1])
             u, v = forest(d[:-1][on], d[1:][on])
             yield pd.DataFrame({"src": u, "dst": v})
 
@@ -284,45 +395,38 @@ def _blocks(group: DataFrame, weights: DataFrame, texts: DataFrame, words: int,
 
 
 def classes_and_links(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, group_shingles: int = GROUP_SHINGLES, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sets, classes, links): rows (doc_id, n, key); classes (key, rep, n), rep the least id; links (src, dst) of reps
+    """(sets, classes, links): rows (doc_id, n, key); classes (key, rep, n, node), rep the least id; links (src, dst) of reps
     that connect all that are connected."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    both = cut(texts.mapInPandas(_sets_and_counts(words), "row boolean, doc_id long, n long, key binary"), "sets")
+    both = cut(texts.mapInPandas(_sets_and_counts(words), "row boolean, doc_id long, n long, key binary, node long"), "sets")
     sets = both.where(~F.col("row")).drop("row")
-    classes = cut(sets.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
+    classes = cut(sets.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("node").alias("node")), "classes")
     spark = docs.sparkSession
     level = spark.sparkContext.broadcast(_levels(both.where("row")))
-    hot_level = int(4 * np.log2(hot + 1))
-
-    def prefixes(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                s = shingles(text, words)
-                p = prefix(s, level.value, similarity) if len(s) else s
-                is_hot = level.value[_cell(p)] >= hot_level
-                rows.append((len(s), p[~is_hot].view(np.int64), p[is_hot].view(np.int64)))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [r[0] for r in rows], "p": [r[1] for r in rows], "q": [r[2] for r in rows]})
-
-    reps = classes.select(F.col("rep").alias("doc_id"))
-    first = texts.where("doc_id is not null").mapInPandas(prefixes, "doc_id long, n int, p array<long>, q array<long>").where("n > 0")
-    first = first.join(reps, "doc_id", "left_semi")
-    first = cut(first, "prefixes")
-    posts = first.select(F.explode("p").alias("h"), "n", "doc_id")
-    chained = posts.repartition("h").sortWithinPartitions("h", "n", "doc_id").mapInPandas(_chains(similarity), "src long, dst long")
-    often = first.select(F.explode("q").alias("h"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"), "doc_id")
-    least = cut(often.groupBy("h", "salt").agg(F.min("doc_id").alias("m")), "hot")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    bits = max(LEAST_BUCKETS, int(total) // (3 * BUCKET_SHINGLES)).bit_length() - 1
+    parts = texts.where("doc_id is not null").mapInPandas(_prefix_parts(level, words, similarity, int(4 * np.log2(hot + 1)), bits), PARTS)
+    shared = cut(parts.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_shared(similarity), SHARED), "shared")
+    # The least partner has least_shared(n) shingles, and so at least its spare in common.
+    need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * similarity / 100) / SPARE))
+    alive = shared.groupBy("node").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(F.col("c") >= need).select("node")
+    alive = cut(alive, "alive")
+    posts = shared.join(alive, "node")
+    chained = posts.where("not hot").select("h", "n", "node").repartition("h").sortWithinPartitions("h", "n", "node").mapInPandas(_chains(similarity), "src long, dst long")
+    often = posts.where("hot").select("h", F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"), "node")
+    least = cut(often.groupBy("h", "salt").agg(F.min("node").alias("m")), "hot")
     lowest = cut(least.groupBy("h").agg(F.min("m").alias("m0")), "hot-least")
-    stars = often.join(least, ["h", "salt"]).select(F.col("m").alias("src"), F.col("doc_id").alias("dst")).union(least.join(lowest, "h").select(F.col("m0").alias("src"), F.col("m").alias("dst")))
+    stars = often.join(least, ["h", "salt"]).select(F.col("m").alias("src"), F.col("node").alias("dst")).union(least.join(lowest, "h").select(F.col("m0").alias("src"), F.col("m").alias("dst")))
     groups = cut(connected_components(chained.union(stars)), "groups")
-    group = cut(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("comp")).join(classes.select(F.col("rep").alias("doc_id"), "n"), "doc_id"), "group")
+    group = cut(classes.select("node", F.col("rep").alias("doc_id"), "n").join(groups.select("node", F.col("component").alias("comp")), "node").select("doc_id", "comp", "n"), "group")
     weights = cut(group.groupBy("comp").agg(F.sum("n").alias("weight")), "weights")
     work = group.join(weights.where(F.col("weight") <= group_shingles), "comp").select("comp", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.col("doc_id").alias("label"), "doc_id")
     more = None
     if weights.where(F.col("weight") > group_shingles).limit(1).count():
         searched, more = _blocks(group, weights, texts.where("doc_id is not null"), words, similarity, group_shingles)
         work = work.union(searched)
-    full = work.join(texts, "doc_id").select("comp", "a", "b", "label", "doc_id", "text")
+    small = work.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    full = texts.join(F.broadcast(work) if small else work, "doc_id").select("comp", "a", "b", "label", "doc_id", "text")
     found = full.repartition("comp", "a", "b").sortWithinPartitions("comp", "a", "b", "doc_id").mapInPandas(_search_groups(words, similarity), "src long, dst long")
     links = cut(found.union(more) if more is not None else found, "links")
     return sets, classes, links
