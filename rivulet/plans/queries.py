@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rivulet.functions import keys
 from rivulet.functions.keys import KEY, flow_id
 from rivulet.operators import flow_manager, flows, labels, metrics, models, pipelines, sketches
+from rivulet.plans import sizing
 from rivulet.sources.packets import key_records, packets, table
 from rivulet.streaming import flows as streams
 
@@ -891,6 +892,82 @@ def iat_mre_baselines(spark, d):
     return out
 
 
+# -- smaller operators -------------------------------------------------------------------------------------------------
+
+
+@query("SELECT seq, rn > 1 AS seen FROM ordered")
+def seen_before(spark, d):
+    return flows.ordered(packets(spark, d)).select("seq", (F.col("rn") > 1).alias("seen"))
+
+
+@query("SELECT flow_id, min(ts_us) AS first_us FROM packets GROUP BY flow_id ORDER BY first_us, flow_id LIMIT 20")
+def earliest_flows(spark, d):
+    return flows.time_bounds(packets(spark, d)).select(fk(), "first_us").orderBy("first_us", "flow_id").limit(20)
+
+
+@query(f"{BLOOM} SELECT flow_id, CASE WHEN hit THEN 'mice' ELSE 'next' END AS route FROM probe")
+def mice_router(spark, d):
+    s = sized(spark, d)
+    probes = sketches.bloom_probe(s, sketches.bloom_bits(s.where("size >= 15"), BM, BK), BM, BK)
+    return probes.select("flow_id", F.when(F.col("hit"), "mice").otherwise("next").alias("route"))
+
+
+@query(f"{_G}, {_dd(BINS, 16)} SELECT flow_id, seq, bin, round(CASE WHEN bin = {sketches.ZERO} THEN 0 ELSE 2 * pow({BINS.gamma!r}, bin) / {BINS.gamma + 1!r} END, 4) AS value FROM dd_v")
+def values_to_bins(spark, d):
+    v = sketches.freeze_seq(pipelines.gaps(packets(spark, d)), BINS, 16)
+    return v.select("flow_id", "seq", "bin", F.round(F.when(F.col("bin") == sketches.ZERO, 0.0).otherwise(BINS.value(F.col("bin"))), 4).alias("value"))
+
+
+@query(f"{_DAYS} SELECT day, flow_id, size FROM days ORDER BY day DESC, flow_id LIMIT 100")
+def replay_buffer_fifo(spark, d):
+    s = packets(spark, d).groupBy(F.floor(F.col("ts_us") / 86_400_000_000).alias("minute"), fk()).agg(F.count("*").alias("size"))
+    return models.replay_buffer(s.where("minute % 2 = 0"), s.where("minute % 2 <> 0"), "update-fifo", 100).select(F.col("minute").alias("day"), "flow_id", "size")
+
+
+@query(f"{TREES}, v AS (SELECT flow_id, count(*) AS n, count(*) - sum(CAST(proba >= 0.5 AS INTEGER)) AS z FROM trees GROUP BY flow_id) SELECT flow_id FROM v WHERE abs(n - 2 * (CASE WHEN z = 0 OR z = n THEN 1 ELSE z + 1 END)) / n < 0.3")
+def active_samples(spark, d):
+    v = _trees(spark, d).withColumn("vote", (F.col("proba") >= 0.5).cast("int"))
+    return models.agreement(v).where("agreement < 0.3").select("flow_id")
+
+
+@query(f"{TREES} SELECT flow_id, array_to_string(list(tree || '-' || printf('%.3f', proba) ORDER BY tree), ' ') AS log FROM trees GROUP BY flow_id")
+def prediction_log(spark, d):
+    t = _trees(spark, d).groupBy("flow_id").agg(F.array_sort(F.collect_list(F.struct("tree", "proba"))).alias("x"))
+    return t.select("flow_id", F.array_join(F.transform("x", lambda x: F.concat(x["tree"].cast("string"), F.lit("-"), F.format_string("%.3f", x["proba"]))), " ").alias("log"))
+
+
+@query(f"{TREES}, {_TS} SELECT tree, score FROM tree_scores ORDER BY score DESC, tree LIMIT 1")
+def best_params(spark, d):
+    return _tree_scores(spark, d).select("tree", "score").orderBy(F.desc("score"), "tree").limit(1)
+
+
+@query("SELECT s.flow_id, min(d.err) AS least_error FROM sizes s, (SELECT flow_id, size % k AS err FROM sizes, (VALUES (3), (5), (7)) AS t(k)) d WHERE s.flow_id = d.flow_id GROUP BY s.flow_id")
+def best_split_error(spark, d):
+    e = sized(spark, d).select("flow_id", "size", F.explode(F.array(F.lit(3), F.lit(5), F.lit(7))).alias("k"))
+    return e.groupBy("flow_id").agg(F.min(F.col("size") % F.col("k")).alias("least_error"))
+
+
+@query(f"{_fse_sql(SYNTH)} SELECT CAST(count(*) AS BIGINT) AS flows, CAST(sum(v) AS BIGINT) AS packets, CAST(sum(CASE WHEN sector = 'ht' THEN v END) AS BIGINT) AS in_table FROM resolved")
+def fse_totals(spark, d):
+    r = _fse(spark, d, _synth(spark, d))[0]
+    return r.agg(F.count("*").alias("flows"), F.sum("v").alias("packets"), F.sum(F.when(F.col("sector") == "ht", F.col("v"))).alias("in_table"))
+
+
+@query()
+def memory_reports(spark, d):
+    rows = [(name, mb, k, int(v)) for name, mb in (("caida", 1.0), ("mawi", 1.5), ("uni", 0.02)) for k, v in sizing.memory_report(sizing.flow_sizes(mb, sizing.trace_of(name))).items()]
+    return spark.createDataFrame(rows, "trace string, budget_mb double, part string, amount long")
+
+
+@query()
+def fse_fifo_errors(spark, d):
+    """Errors of the size pipeline behind the bounded manager: evicted flows are counted by the sketch."""
+    p = packets(spark, d)
+    s = pipelines.sizes(p)
+    e = pipelines.estimate_sizes(s, flow_manager.evict_oldest(p, 16, 4, 5), _truth(spark, d), CONFIG)
+    return _errors(metrics.resolve(s, e.table, e.cms, e.manager, e.discarded, 5))
+
+
 # -- the same sizes over another table ---------------------------------------------------------------------------------
 
 
