@@ -58,8 +58,9 @@ class Bpe:
             put = free & first
             self.keys[at[put]], self.values[at[put]] = keys[put], values[put]
             keys, values, at = keys[~put], values[~put], (at[~put] + 1) & ((1 << self.bits) - 1)
-        self.chunks: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        #: Ids by chunk and by piece, as the bytes of int32.
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.shown = {i: str(i) for i in self.words}
 
     def _home(self, key: np.ndarray) -> np.ndarray:
@@ -78,7 +79,7 @@ class Bpe:
             todo, at = todo[on], (at[on] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def merge_group(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+    def merge_group(self, pieces: list[bytes]) -> list[bytes]:
         """Pieces of at most GROUP_BYTES bytes: a row of a segment tree each, a merge of each row per step."""
         n = len(pieces)
         size = max(2, 1 << (max(map(len, pieces)) - 1).bit_length())
@@ -131,9 +132,9 @@ class Bpe:
             live = live[tree[live, 1] < none]
         flat = token[:, :size]
         kept = flat >= 0
-        ends = np.cumsum(kept.sum(1))
-        ids = flat[kept].tolist()
-        return [tuple(ids[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        ends = (4 * np.cumsum(kept.sum(1))).tolist()
+        ids = flat[kept].astype(np.int32).tobytes()
+        return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def merge_one(self, piece: bytes) -> list[int]:
         """One piece of any length; the same tree in Python lists."""
@@ -189,9 +190,9 @@ class Bpe:
         for p in pieces:
             raw = p.encode("utf-8", "surrogatepass")
             if (whole := self.ranks.get(raw)) is not None:
-                self.pieces[p] = (whole,)
+                self.pieces[p] = np.int32(whole).tobytes()
             elif len(raw) > GROUP_BYTES:
-                self.pieces[p] = tuple(self.merge_one(raw))
+                self.pieces[p] = np.array(self.merge_one(raw), np.int32).tobytes()
             else:
                 groups.setdefault((len(raw) - 1).bit_length(), []).append((p, raw))
         for group in groups.values():
@@ -199,7 +200,7 @@ class Bpe:
                 some = group[a : a + 8192]
                 self.pieces.update(zip((p for p, _ in some), self.merge_group([raw for _, raw in some]), strict=True))
 
-    def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
+    def encode_batch(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text.
 
         No match of the pattern goes on from a non-space to a space, so a text falls at its spaces into chunks whose
@@ -218,16 +219,18 @@ class Bpe:
                 alone[-k - 1] = self.split(part[0])
         self.learn(set().union(*new.values(), *alone.values()).difference(self.pieces))
         piece = self.pieces.__getitem__
-        self.chunks.update((w, tuple(i for p in found for i in piece(p))) for w, found in new.items())
+        self.chunks.update((w, b"".join(map(piece, found))) for w, found in new.items())
         chunk = self.chunks.__getitem__
         for k, part in enumerate(parts):
             if k in alone:
-                yield [i for p in alone[k] for i in piece(p)]
+                raw = b"".join(map(piece, alone[k]))
             else:
-                ids = [i for p in alone[-k - 1] for i in piece(p)]
-                for found in map(chunk, part[1:]):
-                    ids += found
-                yield ids
+                raw = b"".join([*map(piece, alone[-k - 1]), *map(chunk, part[1:])])
+            yield np.frombuffer(raw, np.int32)
+
+    def forget(self) -> None:
+        """Frees what is remembered of texts."""
+        self.chunks, self.pieces = {}, {}
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.words.__getitem__, ids))
@@ -270,10 +273,13 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text)).to_pandas().fillna("")
             for a, b in _batches(texts):
-                ids = pa.array(bpe.encode_batch(texts.iloc[a:b].tolist()), pa.list_(pa.int32()))
+                found = list(bpe.encode_batch(texts.iloc[a:b].tolist()))
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *found])))
                 part = batch.slice(a, b - a)
                 columns = [part.column(part.schema.get_field_index(f.name)) for f in keep]
                 yield pa.RecordBatch.from_arrays([*columns, ids], names=[*(f.name for f in keep), out])
+        bpe.forget()  # the process lives on
 
     return docs.mapInArrow(run, schema)
 
@@ -310,11 +316,12 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             texts = pdf["text"].fillna("")
             rows = []
             for a, b in _batches(texts):
-                for ids in bpe.encode_batch(texts.iloc[a:b].tolist()):
+                for ids in map(np.ndarray.tolist, bpe.encode_batch(texts.iloc[a:b].tolist())):
                     rows.append((len(ids), hashlib.sha256(",".join(map(bpe.shown.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
             done = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             done.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield done
+        bpe.forget()  # the process lives on
 
     return docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, DIGESTS)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -50,8 +51,9 @@ _ROOTS: set[str] = set()
 
 
 def _forget(spark: SparkSession, root: str) -> None:
-    if spark.sparkContext._jsc is not None:
-        delete(spark, root)
+    with contextlib.suppress(Exception):  # the JVM may be gone by now, or the folder
+        if spark.sparkContext._jsc is not None:
+            delete(spark, root)
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:

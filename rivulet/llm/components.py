@@ -61,13 +61,14 @@ def _shrink(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"u": x, "v": y})
 
 
-def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", shrink: bool = True) -> DataFrame:
     """(node, component) for each node that has an edge to another; component is the least node it can reach.
 
+    `shrink`: whether partitions first shrink their edges; not needed where they are forests already.
     Rows with a null end, loops and repeated edges are of no effect; an empty table gives an empty result.
     """
     clean = edges.select(F.least(a, b).cast("long").alias("u"), F.greatest(a, b).cast("long").alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") < F.col("v")))
-    now = cut(clean.mapInPandas(_shrink, "u long, v long").distinct(), "edges")
+    now = cut((clean.mapInPandas(_shrink, "u long, v long") if shrink else clean).distinct(), "edges")
     mark = _mark(now)
     while True:
         # Large star: of x's neighbours, those above x go to the least of x and its neighbours.

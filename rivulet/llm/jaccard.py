@@ -67,6 +67,22 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def forget_words() -> None:
+    _WORDS.clear()
+
+
+def _forgetting(run):
+    """`run` as a task; what it remembers of words goes as it ends, since its process lives on."""
+
+    def task(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from run(batches)
+        finally:
+            forget_words()
+
+    return task
+
+
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the shingles; of a shorter text, of all its words as one; null or no words: none."""
     found = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
@@ -378,7 +394,7 @@ def _blocks(group: DataFrame, weights: DataFrame, texts: DataFrame, words: int,
                     links.append((doc, leader))
             yield pd.DataFrame(links, columns=["src", "dst"], dtype="int64")
 
-    links = cut(read.join(leaders, "comp").mapInPandas(verify, "src long, dst long"), "leader-links")
+    links = cut(read.join(leaders, "comp").mapInPandas(_forgetting(verify), "src long, dst long"), "leader-links")
     labels = cut(connected_components(links), "labels")
     # Documents that no leader links with stand alone: their label is their own id, and they share blocks.
     named = big.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("comp", "doc_id", "n", F.col("component").alias("led"))
@@ -398,14 +414,14 @@ def classes_and_links(docs: DataFrame, words: int = WORDS, similarity: int = SIM
     """(sets, classes, links): rows (doc_id, n, key); classes (key, rep, n, node), rep the least id; links (src, dst) of reps
     that connect all that are connected."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    both = cut(texts.mapInPandas(_sets_and_counts(words), "row boolean, doc_id long, n long, key binary, node long"), "sets")
+    both = cut(texts.mapInPandas(_forgetting(_sets_and_counts(words)), "row boolean, doc_id long, n long, key binary, node long"), "sets")
     sets = both.where(~F.col("row")).drop("row")
     classes = cut(sets.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("node").alias("node")), "classes")
     spark = docs.sparkSession
     level = spark.sparkContext.broadcast(_levels(both.where("row")))
     total = classes.agg(F.sum("n")).first()[0] or 0
     bits = max(LEAST_BUCKETS, int(total) // (3 * BUCKET_SHINGLES)).bit_length() - 1
-    parts = texts.where("doc_id is not null").mapInPandas(_prefix_parts(level, words, similarity, int(4 * np.log2(hot + 1)), bits), PARTS)
+    parts = texts.where("doc_id is not null").mapInPandas(_forgetting(_prefix_parts(level, words, similarity, int(4 * np.log2(hot + 1)), bits)), PARTS)
     shared = cut(parts.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_shared(similarity), SHARED), "shared")
     # The least partner has least_shared(n) shingles, and so at least its spare in common.
     need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * similarity / 100) / SPARE))
@@ -417,7 +433,7 @@ def classes_and_links(docs: DataFrame, words: int = WORDS, similarity: int = SIM
     least = cut(often.groupBy("h", "salt").agg(F.min("node").alias("m")), "hot")
     lowest = cut(least.groupBy("h").agg(F.min("m").alias("m0")), "hot-least")
     stars = often.join(least, ["h", "salt"]).select(F.col("m").alias("src"), F.col("node").alias("dst")).union(least.join(lowest, "h").select(F.col("m0").alias("src"), F.col("m").alias("dst")))
-    groups = cut(connected_components(chained.union(stars)), "groups")
+    groups = cut(connected_components(chained.union(stars), shrink=False), "groups")
     group = cut(classes.select("node", F.col("rep").alias("doc_id"), "n").join(groups.select("node", F.col("component").alias("comp")), "node").select("doc_id", "comp", "n"), "group")
     weights = cut(group.groupBy("comp").agg(F.sum("n").alias("weight")), "weights")
     work = group.join(weights.where(F.col("weight") <= group_shingles), "comp").select("comp", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.col("doc_id").alias("label"), "doc_id")
@@ -427,7 +443,7 @@ def classes_and_links(docs: DataFrame, words: int = WORDS, similarity: int = SIM
         work = work.union(searched)
     small = work.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     full = texts.join(F.broadcast(work) if small else work, "doc_id").select("comp", "a", "b", "label", "doc_id", "text")
-    found = full.repartition("comp", "a", "b").sortWithinPartitions("comp", "a", "b", "doc_id").mapInPandas(_search_groups(words, similarity), "src long, dst long")
+    found = full.repartition("comp", "a", "b").sortWithinPartitions("comp", "a", "b", "doc_id").mapInPandas(_forgetting(_search_groups(words, similarity)), "src long, dst long")
     links = cut(found.union(more) if more is not None else found, "links")
     return sets, classes, links
 
