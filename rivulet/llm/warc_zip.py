@@ -71,9 +71,10 @@ def directory(f: BinaryIO, size: int) -> list[Member]:
     """The members by the central directory; ZIP64 fields are followed where the short ones are full."""
     tail_at = max(0, size - END_BYTES - MAX_COMMENT)
     tail = read_range(f, tail_at, size - tail_at)
+    # The last record whose comment goes just to the end of the file; a comment may have the signature in it.
     at = tail.rfind(END)
-    while at >= 0 and len(tail) - at - END_BYTES != struct.unpack_from("<H", tail, at + 20)[0]:
-        at = tail.rfind(END, 0, at)
+    while at >= 0 and (at + END_BYTES > len(tail) or at + END_BYTES + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
+        at = tail.rfind(END, 0, at + len(END) - 1)
     if at < 0:
         raise ValueError("no end of central directory")
     count, length, start = struct.unpack_from("<HII", tail, at + 10)
