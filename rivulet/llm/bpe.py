@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import table
+from rivulet.llm.common import release, table
 
 #: Rank of a pair that is no token.
 NONE = np.int64(1 << 40)
@@ -236,7 +236,7 @@ class Bpe:
         return b"".join(map(self.words.__getitem__, ids))
 
 
-def _batches(texts: pd.Series, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def _batches(texts: pd.Series, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Stretches of rows of about `limit` characters."""
     begin, held = 0, 0
     for k, n in enumerate(texts.str.len()):
@@ -279,7 +279,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
                 part = batch.slice(a, b - a)
                 columns = [part.column(part.schema.get_field_index(f.name)) for f in keep]
                 yield pa.RecordBatch.from_arrays([*columns, ids], names=[*(f.name for f in keep), out])
-        bpe.forget()  # the process lives on
+        bpe.forget()
+        release()
 
     return docs.mapInArrow(run, schema)
 
@@ -321,7 +322,8 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             done = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             done.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield done
-        bpe.forget()  # the process lives on
+        bpe.forget()
+        release()
 
     return docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, DIGESTS)
 

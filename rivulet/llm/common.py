@@ -56,6 +56,19 @@ def _forget(spark: SparkSession, root: str) -> None:
             delete(spark, root)
 
 
+def release() -> None:
+    """Gives free memory of a Python worker back, as its task ends: the process lives on beside the next stages'."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Writes `df` to the shared folder and reads it back: ends its lineage, survives lost executors, runs once."""
     spark = df.sparkSession

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import cut, table
+from rivulet.llm.common import cut, release, table
 from rivulet.llm.components import connected_components, forest
 
 WORDS, SIMILARITY = 5, 75  # per cent
@@ -79,6 +79,7 @@ def _forgetting(run):
             yield from run(batches)
         finally:
             forget_words()
+            release()
 
     return task
 
@@ -422,13 +423,13 @@ def classes_and_links(docs: DataFrame, words: int = WORDS, similarity: int = SIM
     total = classes.agg(F.sum("n")).first()[0] or 0
     bits = max(LEAST_BUCKETS, int(total) // (3 * BUCKET_SHINGLES)).bit_length() - 1
     parts = texts.where("doc_id is not null").mapInPandas(_forgetting(_prefix_parts(level, words, similarity, int(4 * np.log2(hot + 1)), bits)), PARTS)
-    shared = cut(parts.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_shared(similarity), SHARED), "shared")
+    shared = cut(parts.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_forgetting(_shared(similarity)), SHARED), "shared")
     # The least partner has least_shared(n) shingles, and so at least its spare in common.
     need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * similarity / 100) / SPARE))
     alive = shared.groupBy("node").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(F.col("c") >= need).select("node")
     alive = cut(alive, "alive")
     posts = shared.join(alive, "node")
-    chained = posts.where("not hot").select("h", "n", "node").repartition("h").sortWithinPartitions("h", "n", "node").mapInPandas(_chains(similarity), "src long, dst long")
+    chained = posts.where("not hot").select("h", "n", "node").repartition("h").sortWithinPartitions("h", "n", "node").mapInPandas(_forgetting(_chains(similarity)), "src long, dst long")
     often = posts.where("hot").select("h", F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"), "node")
     least = cut(often.groupBy("h", "salt").agg(F.min("node").alias("m")), "hot")
     lowest = cut(least.groupBy("h").agg(F.min("m").alias("m0")), "hot-least")

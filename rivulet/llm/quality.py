@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.llm.common import table
+from rivulet.llm.common import release, table
 
 #: Labelled rows that the trees are fitted on, at most: a sample by hash of ids, the bound of this operator.
 FIT_ROWS = 20_000
@@ -174,6 +174,7 @@ def scored(docs: DataFrame, trees: Trees, out: str = "score") -> DataFrame:
             column = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
             x = np.array([statistics(t.as_py()) for t in column("text")], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*(column(f.name) for f in keep), pa.array(trees.score(x), pa.float64())], names=[*(f.name for f in keep), out])
+        release()
 
     return docs.mapInArrow(run, schema)
 
