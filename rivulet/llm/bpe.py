@@ -26,7 +26,7 @@ NONE = np.int64(1 << 40)
 #: Pieces up to this many bytes are merged in groups.
 GROUP_BYTES = 64
 #: Pieces, and chunks between spaces, that a process remembers; when there are more, it starts anew.
-REMEMBER = 300_000
+REMEMBER = 150_000
 #: White space beside a space, or a space at either end.
 WHITE = regex.compile(r" \s|\s |^ | $").search
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
