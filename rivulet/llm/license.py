@@ -129,39 +129,75 @@ def sentences_known() -> dict[str, str]:
 
 
 KNOWN = sentences_known()
-MOST_WORDS = max(len(x.split()) for x in KNOWN)
+#: Known sentences that may have marks or empty lines within, as notices are published with; the short ones may not.
+WHOLE = {v: k for k, v in LONG.items()}
+
+
+def beginnings() -> dict[str, list[str]]:
+    """Known sentences by their first two words."""
+    out: dict[str, list[str]] = {}
+    for x in KNOWN:
+        out.setdefault(" ".join(x.split()[:2]), []).append(x)
+    return out
+
+
+BEGINS = beginnings()
+
+
+def _start_pattern() -> re.Pattern:
+    """A place where a sentence can begin, and what isn't a letter or digit after it; the group has two words that known sentences begin with."""
+    heads: dict[str, list[str]] = {}
+    for x in BEGINS:
+        first, second = x.replace("license", "licen[cs]e").split()
+        heads.setdefault(first, []).append(second)
+    words = "|".join(f"{k}[^0-9A-Za-z]++(?:{'|'.join(v)})" for k, v in heads.items())
+    return re.compile(rf"""(?:\A|\n|[.;:!?](?=[\s"')]))[^0-9A-Za-z]*+(?=((?i:{words})(?![0-9A-Za-z]))|)""")
+
+
+_START = _start_pattern()
+_END = re.compile(rf"(?P<cut>{_CUT.pattern})|\Z")
+_SPDX = re.compile(rf"SPDX-License-Identifier\s*?(?:{_CUT.pattern})")
+
+
+def _place(text: str, start: int, head: int) -> int:
+    """Where the sentence whose first word is at head begins: after the last cut since start, else at its line."""
+    if cuts := list(_CUT.finditer(text, start, head)):
+        return cuts[-1].end()
+    return text.find("\n", start, head) + 1 or start
 
 
 def sentence_ids(text: str | None) -> list[tuple[str, int]]:
     """(identifier, place of its sentence in the text) of each known sentence, in order.
 
-    A sentence ends at .;:!? before white space, a quote or the end, or at an empty line. If it isn't known, what is
-    left of it from each of its line starts is tried, longest first: headings and tables end without a mark.
+    A sentence begins at a line start or after .;:!? before white space or a quote, and ends at such a mark, at an
+    empty line or with the text. The longest known one is taken from each beginning, the next begins after it. Long
+    ones may go across marks and empty lines: notices have `free software: you can` and `License, v. 2.0`.
     """
     if not text or not ANCHOR.search(text):
         return []
-    out, begin = [], 0
-    # A colon ends a sentence, but the SPDX tag has one.
-    for end in [m.span() for m in _CUT.finditer(text)] + [(len(text), len(text))]:
-        a, begin = begin, end[1]
-        part = text[a : end[0]]
-        if not ANCHOR.search(part):
-            if out and out[-1][0] == "SPDX?":
-                found = KNOWN.get(normal("SPDX-License-Identifier " + part.strip().partition("\n")[0]))
-                out[-1:] = [(found, out[-1][1])] if found else []
-            continue
-        if part.rstrip().endswith("SPDX-License-Identifier"):
-            out.append(("SPDX?", a + part.rfind("SPDX")))
+    out, done = [], 0
+    for m in _START.finditer(text):
+        if m[1] is None or m.end() < done:
             continue
-        if out and out[-1][0] == "SPDX?":
-            found = KNOWN.get(normal("SPDX-License-Identifier " + part.strip().partition("\n")[0]))
-            out[-1:] = [(found, out[-1][1])] if found else []
-        starts = [0, *(m.end() for m in re.finditer(r"\n", part))]
-        for s in starts:
-            if (found := KNOWN.get(normal(part[s:]))) is not None:
-                out.append((found, a + s))
-                break
-    return [x for x in out if x[0] != "SPDX?"]
+        known, said, names, begin, found = BEGINS.get(normal(m[1]), ()), "", KNOWN, m.end(), None
+        for end in _END.finditer(text, begin):
+            if words := normal(text[begin : end.start()]):
+                said = f"{said} {words}" if said else words
+                if not any(x.startswith(said) for x in known):
+                    break
+                if said in names:
+                    found, done = names[said], end.start()
+            begin = end.end()
+            if end["cut"]:
+                names = WHOLE
+        if found is not None:
+            out.append((found, _place(text, m.start(), m.end())))
+    # A colon ends a sentence, but the SPDX tag has one.
+    for m in _SPDX.finditer(text):
+        value = text[m.end() : _END.search(text, m.end()).start()].strip().partition("\n")[0]
+        if (found := KNOWN.get(normal("SPDX-License-Identifier " + value))) is not None:
+            out.append((found, m.start()))
+    return sorted(out, key=lambda x: x[1])
 
 
 def match_rules(ids: list[str]) -> tuple[list[str], int]:

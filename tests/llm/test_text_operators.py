@@ -65,6 +65,67 @@ def test_license_odd_rows(spark):
     assert license.scan(docs(spark, [])).count() == 0
 
 
+GPL3 = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+GPL2 = """    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+APACHE2 = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+MPL2 = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+@pytest.mark.parametrize("prefix", ["", "# ", " * "])
+def test_license_published_notices(prefix):
+    for text, ids, licence in (
+        (GPL3, ["GPL-FREE", "GPL-HOPE", "GPL-SEE"], "GPL-3.0-or-later"),
+        (GPL2, ["GPL2-FREE", "GPL-HOPE", "GPL-SEE"], "GPL-2.0-or-later"),
+        (APACHE2, ["APACHE2-LIC", "APACHE2-USE", "APACHE2-COPY", "APACHE2-ASIS"], "Apache-2.0"),
+        (MPL2, ["MPL2-SUBJECT"], "MPL-2.0"),
+    ):
+        if text is APACHE2 and prefix:
+            continue
+        text = "Title\n\n" + "".join(prefix + x for x in text.splitlines(keepends=True))
+        found = license.sentence_ids(text)
+        assert [k for k, _ in found] == ids and license.match_rules(ids) == ([licence], 0)
+        assert all(license.normal(text[p:]).startswith(next(x for x, k in license.KNOWN.items() if k == i)) for i, p in found)
+
+
+def test_license_short_sentences_end_at_marks():
+    assert license.sentence_ids("Released under the MIT. License") == []
+    assert license.sentence_ids("Released under the GNU General Public License, version 2. Or later.")[0][0] == "GPL-NOTE:2"
+
+
 # -- byte-level BPE ----------------------------------------------------------------------------------------------------
 PATH = P.path(bpe.VOCABULARY)
 
