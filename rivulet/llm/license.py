@@ -155,7 +155,7 @@ def _start_pattern() -> re.Pattern:
 
 
 _START = _start_pattern()
-_END = re.compile(rf"(?P<cut>{_CUT.pattern})|\Z")
+_END = re.compile(rf"(?P<cut>{_CUT.pattern})|\n|\Z")
 _SPDX = re.compile(rf"SPDX-License-Identifier\s*?(?:{_CUT.pattern})")
 
 
@@ -169,9 +169,10 @@ def _place(text: str, start: int, head: int) -> int:
 def sentence_ids(text: str | None) -> list[tuple[str, int]]:
     """(identifier, place of its sentence in the text) of each known sentence, in order.
 
-    A sentence begins at a line start or after .;:!? before white space or a quote, and ends at such a mark, at an
-    empty line or with the text. The longest known one is taken from each beginning, the next begins after it. Long
-    ones may go across marks and empty lines: notices have `free software: you can` and `License, v. 2.0`.
+    A sentence begins at a line start or after .;:!? before white space or a quote, and ends at such a mark or at a
+    line's end: headings and tables end without a mark. The longest known one is taken from each beginning, the next
+    begins after it. Long ones may go across marks and empty lines: notices have `free software: you can` and
+    `License, v. 2.0`.
     """
     if not text or not ANCHOR.search(text):
         return []
@@ -194,7 +195,8 @@ def sentence_ids(text: str | None) -> list[tuple[str, int]]:
             out.append((found, _place(text, m.start(), m.end())))
     # A colon ends a sentence, but the SPDX tag has one.
     for m in _SPDX.finditer(text):
-        value = text[m.end() : _END.search(text, m.end()).start()].strip().partition("\n")[0]
+        end = _CUT.search(text, m.end())
+        value = text[m.end() : end.start() if end else len(text)].strip().partition("\n")[0]
         if (found := KNOWN.get(normal("SPDX-License-Identifier " + value))) is not None:
             out.append((found, m.start()))
     return sorted(out, key=lambda x: x[1])

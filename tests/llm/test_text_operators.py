@@ -126,6 +126,20 @@ def test_license_short_sentences_end_at_marks():
     assert license.sentence_ids("Released under the GNU General Public License, version 2. Or later.")[0][0] == "GPL-NOTE:2"
 
 
+def test_license_unmarked_lines_before_other_text():
+    for text, ids in (
+        ("Released under the MIT License\nSee docs for more.", ["MIT-NOTE"]),
+        ("All rights reserved\nNext line", ["ALL-RIGHTS"]),
+        ("Tool\nReleased under the\nMIT License\nAll rights reserved\nThe end", ["MIT-NOTE", "ALL-RIGHTS"]),
+        ("Licensed under the GNU General Public License, version 2\nor later\nand so on", ["GPL-NOTE:2+"]),
+        ("Not all rights reserved\nfor all", []),
+        ("".join("# " + x for x in APACHE2.splitlines(keepends=True)), ["APACHE2-LIC", "APACHE2-USE", "APACHE2-COPY", "APACHE2-ASIS"]),
+        ("All rights reserved\n" * 3000, ["ALL-RIGHTS"] * 3000),
+        ("SPDX-License-Identifier: \nMIT\nmore", ["SPDX:MIT"]),
+    ):
+        assert [k for k, _ in license.sentence_ids(text)] == ids
+
+
 # -- byte-level BPE ----------------------------------------------------------------------------------------------------
 PATH = P.path(bpe.VOCABULARY)
 
