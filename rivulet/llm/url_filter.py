@@ -62,7 +62,6 @@ def tokens(url: Column) -> Column:
 class Mining:
     min_support: float = 0.004
     min_confidence: float = 0.6
-    max_tokens: int = 3
 
 
 def mine(labelled: DataFrame, settings: Mining = Mining()) -> DataFrame:
@@ -74,25 +73,34 @@ def mine(labelled: DataFrame, settings: Mining = Mining()) -> DataFrame:
     items = labelled.where(F.col("url").isNotNull() & F.col("label").isNotNull()).select(F.array_append(tokens(F.col("url")), F.concat(F.lit("="), F.col("label"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=settings.min_support, minConfidence=settings.min_confidence).fit(items)
     rules = (
-        model.associationRules.where(F.col("consequent")[0].startswith("=") & (F.size("antecedent") <= settings.max_tokens) & ~F.exists("antecedent", lambda x: x.startswith("=")))
+        model.associationRules.where(F.col("consequent")[0].startswith("=") & ~F.exists("antecedent", lambda x: x.startswith("=")))
         .select(F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], 2, 1 << 30).alias("label"), "confidence", "support")
     )
     rules = cut(rules, "rules")
-    # A more general rule that is at least as confident makes a rule needless: met through its own subsets of tokens.
-    subsets = rules.select("tokens", "label", "confidence", F.explode(_proper_subsets(F.col("tokens"))).alias("sub"))
-    general = rules.select(F.col("tokens").alias("sub"), F.col("label").alias("g_label"), F.col("confidence").alias("g_conf"))
-    needless = subsets.join(general, "sub").where((F.col("g_label") == F.col("label")) & (F.col("g_conf") >= F.col("confidence"))).select("tokens", "label").distinct()
-    kept = rules.join(needless, ["tokens", "label"], "left_anti")
+    kept = rules.join(_needless(model.freqItemsets), ["tokens", "label"], "left_anti")
     seen = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     anchors = kept.select("tokens", "label", F.explode("tokens").alias("token")).join(seen, "token").groupBy("tokens", "label").agg(F.min_by("token", F.struct("freq", "token")).alias("anchor"))
     return kept.join(anchors, ["tokens", "label"]).select(F.concat_ws(" ", "tokens").alias("rule_id"), "tokens", "anchor", "label", "confidence", "support")
 
 
-def _proper_subsets(tokens: Column) -> Column:
-    """Non-empty subsets of up to three sorted tokens that are smaller than the whole."""
-    ones = F.transform(tokens, lambda x: F.array(x))
-    pairs = F.flatten(F.transform(tokens, lambda x: F.transform(F.filter(tokens, lambda y: y > x), lambda y: F.array(x, y))))
-    return F.filter(F.concat(ones, pairs), lambda s: F.size(s) < F.size(tokens))
+def _needless(itemsets: DataFrame) -> DataFrame:
+    """(tokens, label) of which some non-empty proper subset of the tokens gives the label at least as confidently.
+
+    Sets are met by size: each takes the best of those with one token less, which know the best of their own subsets.
+    All of these are among the frequent sets, as they are at least as frequent.
+    """
+    labels = F.filter("items", lambda x: x.startswith("="))
+    parted = itemsets.select(F.array_sort(F.filter("items", lambda x: ~x.startswith("="))).alias("tokens"), F.substring(F.element_at(labels, 1), 2, 1 << 30).alias("label"), "freq", F.size(labels).alias("k"))
+    alone = parted.where("k = 0").select("tokens", F.col("freq").alias("of"))
+    sets = cut(parted.where("k = 1").join(alone, "tokens").select("tokens", "label", (F.col("freq") / F.col("of")).alias("c"), F.size("tokens").alias("n")), "sets")
+    best, out = sets.where("n = 1").select("tokens", "label", F.col("c").alias("best")), None
+    for n in range(2, (sets.agg(F.max("n")).first()[0] or 1) + 1):
+        less = sets.where(F.col("n") == n).select("tokens", "label", "c", F.explode(F.transform("tokens", lambda x: F.array_remove("tokens", x))).alias("less"))
+        below = less.join(best.withColumnRenamed("tokens", "less"), ["less", "label"]).groupBy("tokens", "label").agg(F.max("best").alias("below"), F.max("c").alias("c"))
+        level = cut(below.select("tokens", "label", F.greatest("below", "c").alias("best"), (F.col("below") >= F.col("c")).alias("needless")), "level")
+        best, these = level.select("tokens", "label", "best"), level.where("needless").select("tokens", "label")
+        out = these if out is None else out.union(these)
+    return sets.limit(0).select("tokens", "label") if out is None else out
 
 
 def classify(urls: DataFrame, rules: DataFrame, default: str = "allow", key: str = "page_id") -> DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import itertools
 import zipfile
 import zlib
 
@@ -120,6 +121,28 @@ def test_url_association_rules(spark):
     assert url_filter.judge(pages.limit(0), labelled, settings=settings).count() == 0
 
 
+def test_url_rules_of_many_tokens(spark):
+    # Each three of a, b, c, d are as often allowed as blocked; all four are always blocked. Then e changes nothing.
+    four, five = ("a", "b", "c", "d"), ("a", "b", "c", "d", "e")
+    rows = [(f"x://h/{'/'.join(four)}", "block")] * 10 + [(f"x://h/{'/'.join(five)}", "block")] * 10
+    rows += [(f"x://h/{'/'.join(t for t in four if t != left)}", "allow") for left in four for _ in range(20)]
+    rows += [("x://h/e", "allow")] * 30
+    rules = url_filter.mine(spark.createDataFrame(rows, "url string, label string"), url_filter.Mining(0.05, 0.6))
+    got = {(tuple(r["tokens"]), r["label"]): r["confidence"] for r in rules.collect()}
+    total = [({"@h", *u.removeprefix("x://h/").split("/")}, lab) for u, lab in rows]
+    want = {}
+    for n in range(1, 7):
+        for tokens in itertools.combinations(sorted(["@h", *five]), n):
+            have = [lab for t, lab in total if t >= set(tokens)]
+            for lab in ("allow", "block"):
+                c = have.count(lab) / len(have) if have else 0
+                if have.count(lab) >= 0.05 * len(rows) and c >= 0.6 and not any(set(g) < set(tokens) and k == lab and d >= c for (g, k), d in want.items()):
+                    want[tokens, lab] = c
+    assert got == pytest.approx(want) and got[four, "block"] == 1
+    pages = spark.createDataFrame([(1, "x://z/a/b/c/d"), (2, "x://z/a/b/c")], "page_id long, url string")
+    assert {r["page_id"]: r["mined"] for r in url_filter.classify(pages, rules).collect()} == {1: "block", 2: "allow"}
+
+
 # -- mixing ------------------------------------------------------------------------------------------------------------
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, start long, s int"
 
