@@ -21,13 +21,23 @@ ROUNDS = 8
 KEY = "rivulet"
 # Fixed formats. Each look-behind makes a run of characters be tried at its start alone, so that long runs cost no more.
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: Lengths of IBANs by country: those written in groups end where their country's do, whatever follows.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA",
+    23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV",
+    29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+GROUPED = "|".join(f"(?:{c})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
+#: Calling codes but 1, whose numbers are of the North American shape.
+CODES = "7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2}"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|GROUPED)(?![A-Za-z0-9])".replace("GROUPED", GROUPED),
     "ip": rf"(?<![0-9A-Za-z.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9A-Za-z]|\.[0-9])",
     "date": r"(?<![0-9A-Za-z./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![0-9A-Za-z]|[./-][0-9])",
     "ssn": r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
-    "phone": r"(?<![0-9A-Za-z+(-])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|-[0-9])",
+    "phone": r"(?<![0-9A-Za-z+(-])(?:(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+1[ .-]?[0-9]{10})(?![0-9A-Za-z]|-[0-9])",
+    "abroad": rf"(?<![0-9A-Za-z+(-])\+(?:{CODES})(?:[ ./-]?\(0\))?(?:[ ./-]?\(?[0-9]\)?){{6,12}}(?![0-9A-Za-z]|-[0-9])",
     "card": r"(?<![0-9A-Za-z-])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9A-Za-z]|-[0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -120,9 +130,12 @@ def pseudonym(m: Column, key: str) -> Column:
     tld = F.regexp_extract(m, r"\.[A-Za-z]+$", 0)
     email = F.concat(permute_text(F.substring(m, F.lit(1), at - 1), key, "local"), F.lit("@"), permute_text(F.substring(m, at + 1, F.length(m) - at - F.length(tld)), key, "domain"), tld)
 
-    land, bban = F.substring(m, 1, 2), F.substring(m, F.lit(5), F.length(m))
+    packed = F.replace(m, F.lit(" "), F.lit(""))
+    land, bban = F.substring(packed, 1, 2), F.substring(packed, F.lit(5), F.length(packed))
     new_bban = permute_text(bban, key, "iban")
-    iban = F.when(mod97(F.concat(bban, F.substring(m, 1, 4))) == 1, F.concat(land, _padded(98 - mod97(F.concat(new_bban, land, F.lit("00"))), 2), new_bban))
+    new_iban = F.concat(land, _padded(98 - mod97(F.concat(new_bban, land, F.lit("00"))), 2), new_bban)
+    # Groups are of four, so the spaces go back after each four characters but the last.
+    iban = F.when(mod97(F.concat(bban, F.substring(packed, 1, 4))) == 1, F.when(m.contains(" "), F.regexp_replace(new_iban, "(.{4})(?=.)", "$1 ")).otherwise(new_iban))
 
     octets = F.split(m, r"\.")
     ip_at = permute(F.aggregate(octets, F.lit(0).cast(LONG), lambda s, o: s * 256 + o.cast(LONG)), F.lit(1 << 16), F.lit(1 << 16), key, "ip")
@@ -149,21 +162,26 @@ def pseudonym(m: Column, key: str) -> Column:
     new_ten = _padded(permute(ten.cast(LONG), F.lit(100_000), F.lit(100_000), key, "phone"), 10)
     phone = fill(m, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), new_ten))
 
+    # The calling code stays, and so does a (0), which isn't dialled from abroad.
+    dialled = F.replace(m, F.lit("(0)"), F.lit("(o)"))
+    code = F.regexp_extract(m, rf"^\+({CODES})", 1)
+    abroad = F.replace(fill(dialled, F.concat(code, permute_digits(F.substring(digits(dialled), F.length(code) + 1, F.length(m)), key, "abroad"))), F.lit("(o)"), F.lit("(0)"))
+
     payload = F.substring(d, F.lit(1), F.length(d) - 1)
     card = F.when(luhn_digit(payload) == F.substring(d, F.length(d), F.lit(1)), fill(m, _with_check(permute_digits(payload, key))))
     return (
-        F.when(kind["email"], email).when(kind["ip"], ip).when(kind["date"], date).when(kind["ssn"], ssn).when(kind["phone"], phone).when(kind["card"], card).when(kind["iban"], iban)
+        F.when(kind["email"], email).when(kind["ip"], ip).when(kind["date"], date).when(kind["ssn"], ssn).when(kind["phone"], phone).when(kind["abroad"], abroad).when(kind["card"], card).when(kind["iban"], iban)
     )
 
 
-def permute_digits(payload: Column, key: str) -> Column:
+def permute_digits(payload: Column, key: str, tag: str = "card") -> Column:
     """Strings of digits of one length, permuted; up to 18 digits."""
     n = F.length(payload)
     low = F.floor(n / 2).cast("int")
     a, b = _power(n - low), _power(low)
     step = lambda s, i: F.struct(
-        F.when(i % 2 == 0, (s["l"] + _hash(key, "card", n, i, s["r"])) % a).otherwise(s["l"]).alias("l"),
-        F.when(i % 2 == 1, (s["r"] + _hash(key, "card", n, i, s["l"])) % b).otherwise(s["r"]).alias("r"),
+        F.when(i % 2 == 0, (s["l"] + _hash(key, tag, n, i, s["r"])) % a).otherwise(s["l"]).alias("l"),
+        F.when(i % 2 == 1, (s["r"] + _hash(key, tag, n, i, s["l"])) % b).otherwise(s["r"]).alias("r"),
     )
     start = F.struct(F.substring(payload, F.lit(1), n - low).cast(LONG).alias("l"), F.substring(payload, n - low + 1, low).cast(LONG).alias("r"))
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: F.concat(_padded(s["l"], n - low), _padded(s["r"], low)))

@@ -200,6 +200,20 @@ def one(spark, text):
     return r["text"], r["n_found"]
 
 
+def test_pii_grouped_ibans_and_numbers_abroad(spark):
+    text = "DE89 3704 0044 0532 0130 00 | ES91 2100 0418 4502 0005 1332 2024 | DE89370400440532013000 | DE88 3704 0044 0532 0130 00 | +49 30 1234567 | +49 (0)30 1234567 | +33 1 23 45 67 89 | +34912345678 | +12025550143 | +1 202-555-0143"
+    out, n = one(spark, text)
+    was, now = text.split(" | "), out.split(" | ")
+    assert n == 9 and now[3] == was[3] and all(a != b for k, (a, b) in enumerate(zip(was, now)) if k != 3)
+    assert all(re.sub("[0-9]", "#", a) == re.sub("[0-9]", "#", b) for a, b in zip(was, now))
+    for x in (now[0], now[1].removesuffix(" 2024"), now[2]):
+        x = x.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    assert now[0].replace(" ", "") == now[2] and now[1].endswith(" 2024")
+    assert now[4].replace("+49 ", "+49 (0)") == now[5] and now[6].startswith("+33 ") and now[7].startswith("+34")
+    assert re.sub(r"\D", "", now[8]) == re.sub(r"\D", "", now[9])
+
+
 def test_pii_values_are_replaced_in_their_format(spark):
     cases = {
         "4845168114407329": r"\d{16}", "4845-1681-1440-7329": r"\d{4}-\d{4}-\d{4}-\d{4}", "+1 (171) 555-2028": r"\+1 \(\d{3}\) \d{3}-\d{4}", "078-05-1120": r"\d{3}-\d\d-\d{4}",
