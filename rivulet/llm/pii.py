@@ -12,14 +12,19 @@ character moving within its class (a-z, A-Z, 0-9).
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import table
 
 ROUNDS = 8
-KEY = "rivulet"
+#: The session's setting that has the key for the registered queries; `key_of` draws one where it is unset.
+KEY_SETTING = "spark.rivulet.pii.key"
 # Fixed formats. Each look-behind makes a run of characters be tried at its start alone, so that long runs cost no more.
+# Java's matcher recurses for each turn of a repeated group, so every such group has an upper bound: that of DNS and of
+# SMTP for addresses (64 characters before the @, labels of 63, at most 253 in all; `pseudonym` looks at the last).
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Lengths of IBANs by country: those written in groups end where their country's do, whatever follows.
 IBAN_LENGTHS = {
@@ -31,7 +36,7 @@ GROUPED = "|".join(f"(?:{c})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f"
 #: Calling codes but 1, whose numbers are of the North American shape.
 CODES = "7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2}"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,126}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|GROUPED)(?![A-Za-z0-9])".replace("GROUPED", GROUPED),
     "ip": rf"(?<![0-9A-Za-z.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9A-Za-z]|\.[0-9])",
     "date": r"(?<![0-9A-Za-z./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![0-9A-Za-z]|[./-][0-9])",
@@ -41,6 +46,7 @@ PATTERNS = {
     "card": r"(?<![0-9A-Za-z-])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9A-Za-z]|-[0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+DOMAIN_CHARS = 253
 FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 17, 4297  # 17 * 4297 days: 1900 to 2099
 LONG = "long"
 
@@ -170,7 +176,7 @@ def pseudonym(m: Column, key: str) -> Column:
     payload = F.substring(d, F.lit(1), F.length(d) - 1)
     card = F.when(luhn_digit(payload) == F.substring(d, F.length(d), F.lit(1)), fill(m, _with_check(permute_digits(payload, key))))
     return (
-        F.when(kind["email"], email).when(kind["ip"], ip).when(kind["date"], date).when(kind["ssn"], ssn).when(kind["phone"], phone).when(kind["abroad"], abroad).when(kind["card"], card).when(kind["iban"], iban)
+        F.when(kind["email"], F.when(F.length(m) - at <= DOMAIN_CHARS, email)).when(kind["ip"], ip).when(kind["date"], date).when(kind["ssn"], ssn).when(kind["phone"], phone).when(kind["abroad"], abroad).when(kind["card"], card).when(kind["iban"], iban)
     )
 
 
@@ -192,12 +198,25 @@ def _with_check(payload: Column) -> Column:
     return F.element_at(F.transform(F.array(payload), lambda p: F.concat(p, luhn_digit(p))), 1)
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text", n_found: str = "n_found") -> DataFrame:
+def key_of(spark: SparkSession) -> str:
+    """The session's key: KEY_SETTING; where it is unset a random one is drawn, once, and kept in the session.
+
+    Pseudonyms are linked across runs only where the setting is given; nobody can undo them without the key.
+    """
+    if not (key := spark.conf.get(KEY_SETTING, None)):
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
+def pseudonymised(docs: DataFrame, key: str, text: str = "text", n_found: str = "n_found") -> DataFrame:
     """`docs` with pseudonyms in `text` and `n_found`, int, the number of values replaced.
 
-    Null texts stay null and count 0, as do empty ones. Texts without valid values stay byte for byte. Other columns
-    stay; one named as `n_found` is replaced.
+    Null texts stay null and count 0, as do empty ones. Texts without valid values stay byte for byte. Repeated rows
+    are treated alike; an empty table stays empty. Other columns stay; one named as `n_found` is replaced.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     m = F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     names = [c for c in docs.columns if c != n_found]
     found = docs.select(*names, m.alias("__m"))
@@ -211,7 +230,7 @@ def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text", n_found:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark))
 
 
 QUERIES = {"op5_pii": op5_pii}

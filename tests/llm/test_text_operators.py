@@ -190,13 +190,16 @@ def test_bpe_tables_and_odd_rows(spark, theirs):
 # -- PII ---------------------------------------------------------------------------------------------------------------
 
 
+KEY = "a key of tests"
+
+
 def luhn(x):
     d = [int(c) for c in re.sub(r"\D", "", x)][::-1]
     return (sum(d[::2]) + sum(sum(divmod(2 * k, 10)) for k in d[1::2])) % 10 == 0
 
 
 def one(spark, text):
-    r = pii.pseudonymised(docs(spark, [(1, text)])).first()
+    r = pii.pseudonymised(docs(spark, [(1, text)]), KEY).first()
     return r["text"], r["n_found"]
 
 
@@ -240,7 +243,7 @@ def test_pii_leaves_what_is_not_valid(spark):
 
 
 def test_pii_equal_values_stay_linked(spark):
-    got = [r["text"] for r in pii.pseudonymised(docs(spark, [(1, "x 4845168114407329"), (2, "4845168114407329, jo@a.org"), (3, "jo@a.org 4845 1681 1440 7329")])).collect()]
+    got = [r["text"] for r in pii.pseudonymised(docs(spark, [(1, "x 4845168114407329"), (2, "4845168114407329, jo@a.org"), (3, "jo@a.org 4845 1681 1440 7329")]), KEY).collect()]
     card = got[0][2:]
     assert got[1].startswith(card + ",") and got[1].split(", ")[1] == got[2].split()[0]
     assert re.sub(" ", "", got[2].split(" ", 1)[1]) == card
@@ -260,10 +263,72 @@ def test_pii_networks_are_permutations(spark):
 
 def test_pii_odd_rows(spark):
     df = docs(spark, ODD)
-    out = pii.pseudonymised(df)
+    out = pii.pseudonymised(df, KEY)
     assert set(out.columns) == set(df.columns)
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(ODD, key=str)
-    assert pii.pseudonymised(docs(spark, [])).count() == 0
+    assert pii.pseudonymised(docs(spark, []), KEY).count() == 0
+
+
+# For each pattern, what it repeats: none may take a frame of the matcher's stack for each turn, or long.
+LONG_TEXTS = ["x@" + "a." * 200_000, "x@" + "a" * 200_000 + ".com", "a" * 200_000 + "@b.com", "x@" + "a-" * 200_000 + ".com", "a.b@" * 100_000, "DE89" + " 3704" * 200_000, "DE89" + "A" * 200_000, "1." * 200_000, "1.1.1.1." * 50_000, "2020-01-" * 50_000, "123-45-" * 50_000, "+49 " + "(1)" * 200_000, "+49 " * 100_000, "555-123-" * 50_000, "1" * 400_000, "1234 " * 100_000, "1234-" * 100_000, "@" * 200_000, "+1 " * 100_000]
+
+
+def test_pii_long_repeats(spark):
+    df = docs(spark, list(enumerate(LONG_TEXTS))).repartition(4)
+    got = {r["doc_id"]: r for r in pii.pseudonymised(df, KEY).collect()}
+    assert all(len(got[k]["text"]) == len(t) for k, t in enumerate(LONG_TEXTS))
+    # Beyond what DNS and SMTP allow there is no address.
+    assert all(got[k]["text"] == LONG_TEXTS[k] for k in (0, 1, 2, 3))
+    long_domain, longest = "x@" + "abcdefghi." * 26 + "com", "x@" + "abcdefghi." * 25 + "com"
+    assert one(spark, long_domain) == (long_domain, 0)
+    assert one(spark, longest)[1] == 1
+
+
+def test_pii_keys(spark):
+    with pytest.raises(ValueError):
+        pii.pseudonymised(docs(spark, []), "")
+    assert pii.key_of(spark) == pii.key_of(spark) and len(pii.key_of(spark)) >= 32
+
+
+def by_rows(text, key=KEY):
+    """The same networks for cards and dates, one value at a time, in Python."""
+
+    def h(tag, *parts):
+        return int(hashlib.sha256("|".join([key, tag, *map(str, parts)]).encode()).hexdigest()[:15], 16)
+
+    def card(m):
+        d = re.sub(r"\D", "", m)
+        p = d[:-1]
+        low = len(p) // 2
+        a, b = 10 ** (len(p) - low), 10**low
+        x, y = int(p[: len(p) - low]), int(p[len(p) - low :])
+        for r in range(pii.ROUNDS):
+            x, y = ((x + h("card", len(p), r, y)) % a, y) if r % 2 == 0 else (x, (y + h("card", len(p), r, x)) % b)
+        new = str(x).zfill(len(p) - low) + str(y).zfill(low)
+        new += next(c for c in "0123456789" if luhn(new + c))
+        digits = iter(new)
+        return re.sub(r"\d", lambda _: next(digits), m)
+
+    def date(m):
+        at = (datetime.date.fromisoformat(m) - datetime.date(1900, 1, 1)).days
+        x, y = divmod(at, pii.DAYS_B)
+        for r in range(pii.ROUNDS):
+            x, y = ((x + h("date", r, y)) % pii.DAYS_A, y) if r % 2 == 0 else (x, (y + h("date", r, x)) % pii.DAYS_B)
+        return str(datetime.date(1900, 1, 1) + datetime.timedelta(x * pii.DAYS_B + y))
+
+    return re.sub(r"\d{4}-\d\d-\d\d", lambda m: date(m[0]), re.sub(r"\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}", lambda m: card(m[0]) if luhn(m[0]) else m[0], text))
+
+
+def test_pii_matches_brute_force(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for k in range(60):
+        n = "".join(map(str, rng.integers(0, 10, 15)))
+        n += next(c for c in "0123456789" if luhn(n + c)) if k % 5 else "0"
+        n = n if k % 2 else " ".join(n[i : i + 4] for i in range(0, 16, 4))
+        texts.append(f"paid {n} on {datetime.date(1900, 1, 1) + datetime.timedelta(int(rng.integers(0, 73_049)))}, word {k}")
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymised(docs(spark, list(enumerate(texts))), KEY).collect()}
+    assert all(got[k] == by_rows(t) for k, t in enumerate(texts))
 
 
 # -- quality classifier ------------------------------------------------------------------------------------------------

@@ -243,7 +243,7 @@ def test_pipeline_stages(spark, tmp_path):
     groups = jaccard.near_duplicates(seen["quality_classifier"]).collect()
     assert {r["doc_id"] for r in seen["ngram_jaccard_join"].collect()} == {r["component_id"] for r in groups}
     assert seen["pii"].count() == seen["ngram_jaccard_join"].count()
-    assert pii.pseudonymised(seen["pii"]).where("n_found > 0").count() == pii.pseudonymised(seen["ngram_jaccard_join"]).where("n_found > 0").count()
+    assert pii.pseudonymised(seen["pii"], "k").where("n_found > 0").count() == pii.pseudonymised(seen["ngram_jaccard_join"], "k").where("n_found > 0").count()
     tokens = seen["byte_bpe"]
     import public_tokenizers as P
 
