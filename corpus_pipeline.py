@@ -22,7 +22,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms for personal values; n_chars follows the text."""
-    out = pii.pseudonymised(docs, n_found="__found")
+    out = pii.pseudonymised(docs, pii.key_of(spark), n_found="__found")
     return out.select(*(F.when(F.col("__found") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
