@@ -6,11 +6,12 @@
    l of them. Sets of which too few prefix shingles occur in any other prefix are out, most of them; the others that
    share one are joined into candidate groups. Only connections are kept, never pairs.
 3. Each group is searched by itself: an inverted index from shingles to documents; for each document the T shingles
-   that a partner must share at least; its longest lists are set aside (DivideSkip), the short ones are merged, and
-   what occurs often enough there is probed for in the long ones by binary search. Documents that are connected
-   already aren't verified again.
-4. A group too large for a task is first compared with a few of its own documents; what links with the same one is
-   connected. It is then dealt into blocks, and those pairs of blocks are searched that aren't connected as a whole.
+   that a partner must share at least; its longest lists are set aside (DivideSkip), the short ones are merged with a
+   heap, and what occurs often enough there is probed for in the long ones by binary search. A list's entries are
+   blocks of documents with a bit for each, so the heap and the probes move a block at a time and counters of a block's
+   documents are added up bit by bit, all at once. Blocks whose documents are connected already are skipped.
+4. A group too large for a task is dealt into blocks, and a few of its documents into each of them; each is searched.
+   What is connected by then needs no more; of the other documents, pairs of blocks are searched.
 
 The result is exact, but for collisions of 64-bit hashes within a pair of documents.
 """
@@ -19,7 +20,9 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,10 +37,13 @@ from rivulet.llm.components import connected_components, forest
 WORDS, SIMILARITY = 5, 75  # per cent
 #: Cells of the sketch, and those in a row of it that is shuffled. Its size is the same for any input.
 CELL_BITS, CELLS_IN_ROW = 22, 1 << 16
-#: Shingles seen more often than this have their documents dealt over SALTS keys.
+#: Shingles seen more often than this, and four times as often as the average cell, have their documents dealt over SALTS keys.
 HOT, SALTS = 200_000, 256
-#: Shingles of a group that one task searches at once; larger groups are dealt into blocks.
-GROUP_SHINGLES = 2_000_000
+#: Shingles and documents of a group that one task searches at once; larger groups are dealt into blocks. A block has
+#: BLOCK_DOCS documents or the LEAST_PART-th part of its group, up to MOST_BLOCK_DOCS, so large groups aren't copied too often.
+GROUP_SHINGLES, GROUP_DOCS = 2_000_000, 256
+BLOCK_DOCS, LEAST_PART, MOST_BLOCK_DOCS = 128, 64, 4_096
+#: Documents of a large group that are dealt into each of its blocks.
 LEADERS = 4
 #: Prefixes are longer by a SPARE-th of the set, and as many more shingles must be shared.
 SPARE = 10
@@ -47,8 +53,8 @@ BUCKET_SHINGLES, LEAST_BUCKETS = 1_000_000, 64
 BROADCAST_ROWS = 500_000
 #: The cost factor of DivideSkip by which lists are split into long and short.
 MU = 0.0085
-#: Lists with fewer entries in all are merged with a heap, others by counting.
-HEAP_ENTRIES = 48
+#: Documents in an entry of an inverted list.
+WIDTH = 256
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -128,59 +134,172 @@ def prefix(s: np.ndarray, level: np.ndarray, similarity: int = SIMILARITY) -> np
     return s[order[: len(s) - least_shared(len(s), similarity) + spare(len(s))]]
 
 
-def _merged(lists: list[np.ndarray], m: int) -> np.ndarray:
-    """How often each of m documents occurs in the lists."""
-    if sum(map(len, lists)) < HEAP_ENTRIES:
-        out = np.zeros(m, np.int64)
-        for k in heapq.merge(*(x.tolist() for x in lists)):
-            out[k] += 1
-        return out
-    return np.bincount(np.concatenate(lists), minlength=m)
+def _add(planes: list[int], mask: int) -> None:
+    """Adds 1 to the counters of a mask's documents; plane k has bit k of each counter."""
+    k = 0
+    while mask:
+        if k == len(planes):
+            planes.append(mask)
+            return
+        plane = planes[k]
+        planes[k], mask, k = plane ^ mask, plane & mask, k + 1
+
+
+def _reaching(planes: list[int], least: int, of: int) -> int:
+    """Those documents of a mask whose counters are `least` or more."""
+    if least >> len(planes):
+        return 0
+    above = 0
+    for k in range(len(planes) - 1, -1, -1):
+        if least >> k & 1:
+            of &= planes[k]
+        else:
+            above |= of & planes[k]
+            of &= ~planes[k]
+    return above | of
+
+
+class Index:
+    """Inverted lists of documents 0..m-1, which come by falling size, and the T-occurrence search over them.
+
+    A list is sorted, and holds WIDTH documents an entry: (block, mask of the documents in it).
+    """
+
+    def __init__(self, sizes: np.ndarray, ids: np.ndarray, owner: np.ndarray, lists: int) -> None:
+        """`ids`, `owner`: list and document of each entry, sorted by list, then document."""
+        self.blocks: list[list[int]] = [[] for _ in range(lists)]
+        self.masks: list[list[int]] = [[] for _ in range(lists)]
+        for k, block, bit in zip(ids.tolist(), (owner // WIDTH).tolist(), (owner % WIDTH).tolist(), strict=True):
+            blocks = self.blocks[k]
+            if blocks and blocks[-1] == block:
+                self.masks[k][-1] |= 1 << bit
+            else:
+                blocks.append(block)
+                self.masks[k].append(1 << bit)
+        self.df = np.bincount(ids, minlength=lists).tolist()
+        #: The documents of a block by size: (size, mask).
+        self.by_size: list[list[tuple[int, int]]] = [[] for _ in range(-(-len(sizes) // WIDTH))]
+        edges = np.flatnonzero(np.r_[True, (sizes[1:] != sizes[:-1]) | (np.arange(1, len(sizes)) % WIDTH == 0)]) if len(sizes) else np.empty(0, np.int64)
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(sizes)], strict=True):
+            self.by_size[a // WIDTH].append((int(sizes[a]), ((1 << (b - a)) - 1) << (a % WIDTH)))
+
+    def partners(self, own: list[int], n: int, blocks: range, open_, similarity: int) -> Iterator[int]:
+        """The documents in open_(block), a mask, that a set of n shingles with the lists `own` links with.
+
+        None of them is larger than the set. What open_ gives may shrink as partners are met.
+        """
+        t = least_shared(n, similarity)
+        if not t or len(own) < t:
+            return
+        own = sorted(own, key=self.df.__getitem__)
+        n_long = min(t - 1, int(t / (MU * math.log2(max(2, self.df[own[-1]])) + 1)))
+        short, long_ = own[: len(own) - n_long], own[len(own) - n_long :]
+        least = t - n_long
+        heap = []
+        for k in short:
+            entries = self.blocks[k]
+            if (at := bisect_left(entries, blocks.start)) < len(entries):
+                heap.append((entries[at], k, at))
+        heapq.heapify(heap)
+        while len(heap) >= least and (block := heap[0][0]) < blocks.stop:
+            if not (here := open_(block)):  # on to the next block with documents to look at
+                block = next((b for b in range(block + 1, blocks.stop) if open_(b)), blocks.stop)
+                while heap and heap[0][0] < block:
+                    _, k, at = heap[0]
+                    at = bisect_left(self.blocks[k], block, at)
+                    if at < len(self.blocks[k]):
+                        heapq.heapreplace(heap, (self.blocks[k][at], k, at))
+                    else:
+                        heapq.heappop(heap)
+                continue
+            met = []
+            while heap and heap[0][0] == block:
+                _, k, at = heap[0]
+                met.append(self.masks[k][at])
+                at += 1
+                if at < len(self.blocks[k]):
+                    heapq.heapreplace(heap, (self.blocks[k][at], k, at))
+                else:
+                    heapq.heappop(heap)
+            if len(met) < least:
+                continue
+            planes: list[int] = []
+            for mask in met:
+                _add(planes, mask & here)
+            if not (left := _reaching(planes, least, here)):
+                continue
+            for k in long_:
+                entries = self.blocks[k]
+                if (at := bisect_left(entries, block)) < len(entries) and entries[at] == block:
+                    _add(planes, self.masks[k][at] & left)
+            left = _reaching(planes, t, left)
+            if not left:
+                continue
+            linked = 0
+            for m, mask in self.by_size[block]:
+                if some := left & mask:  # 100 * shared >= similarity * (n + m - shared)
+                    linked |= _reaching(planes, -(-similarity * (n + m) // (100 + similarity)), some)
+            while linked := linked & open_(block):
+                bit = linked & -linked
+                linked ^= bit
+                yield block * WIDTH + bit.bit_length() - 1
 
 
 def search(sets: list[np.ndarray], label: np.ndarray | None = None, similarity: int = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of linked sets that connect all sets which links connect, beyond those of equal `label`.
 
-    Documents come by size. For each, partners are sought among those before it, of at least `similarity` per cent
-    of its size; they share T shingles or more.
+    Documents come by falling size. For each, partners are sought among those after it, of at least `similarity` per
+    cent of its size; those connected with it already are left out.
     """
     m = len(sets)
     sizes = np.fromiter(map(len, sets), np.int64, m)
-    by_size = np.argsort(sizes, kind="stable")
+    by_size = np.argsort(-sizes, kind="stable")
     sizes = sizes[by_size]
-    flat = np.concatenate([sets[i] for i in by_size])
+    flat = np.concatenate([sets[i] for i in by_size]) if m else np.empty(0, np.uint64)
     owner = np.repeat(np.arange(m), sizes)
     ids, df = np.unique(flat, return_inverse=True, return_counts=True)[1:]
-    root = np.arange(m) if label is None else np.unique(label[by_size], return_inverse=True)[1]
-    entries = owner[np.argsort(ids, kind="stable")]
-    start = np.cumsum(df) - df
-    begin = np.cumsum(sizes) - sizes
+    often = df[ids] > 1  # what no other set has is in no list
+    numbers = np.cumsum(df > 1) - 1
+    ids, owner = numbers[ids[often]], owner[often]
+    order = np.lexsort((owner, ids))
+    index = Index(sizes, ids[order], owner[order], int((df > 1).sum()))
+    ends = np.searchsorted(owner, np.arange(m + 1)).tolist()
+    # Components: each with its documents, and these as a mask for each block.
+    root = (np.arange(m) if label is None else np.unique(label[by_size], return_inverse=True)[1]).tolist()
+    inside: dict[int, list[int]] = {}
+    masks: dict[int, dict[int, int]] = {}
+    for k, c in enumerate(root):
+        inside.setdefault(c, []).append(k)
+        mine = masks.setdefault(c, {})
+        mine[k // WIDTH] = mine.get(k // WIDTH, 0) | 1 << k % WIDTH
     left, right = [], []
+    least = [least_shared(n, similarity) for n in sizes.tolist()]
+    last = np.searchsorted(-sizes, [-n for n in least], side="right").tolist() if m else []
     for r in range(m):
-        own = ids[begin[r] : begin[r] + sizes[r]]
-        lists = own[df[own] > 1]
-        t = least_shared(int(sizes[r]), similarity)
-        low = int(np.searchsorted(sizes, t))
-        if not t or len(lists) < t or low >= r:
+        first, end = r + 1, last[r]
+        if first >= end or not least[r]:
             continue
-        lists = lists[np.argsort(df[lists], kind="stable")]
-        longest = int(df[lists[-1]])
-        n_long = min(t - 1, int(t / (MU * np.log2(longest) + 1)))
-        short, long_ = lists[: len(lists) - n_long], np.sort(lists[len(lists) - n_long :])
-        count = _merged([entries[start[x] : start[x] + df[x]] for x in short], m)
-        open_ = low + np.flatnonzero(count[low:r] >= t - n_long)
-        while len(open_ := open_[root[open_] != root[r]]):
-            # The likeliest first: what it connects needn't be verified.
-            s = open_[np.argmax(count[open_])]
-            theirs = ids[begin[s] : begin[s] + sizes[s]]
-            at = np.minimum(np.searchsorted(theirs, long_), len(theirs) - 1)
-            shared = int(count[s]) + int((theirs[at] == long_).sum())
-            if 100 * shared >= similarity * (int(sizes[r]) + int(sizes[s]) - shared):
-                left.append(by_size[s])
-                right.append(by_size[r])
-                root[root == root[s]] = root[r]
-            else:
-                open_ = open_[open_ != s]
+        blocks = range(first // WIDTH, (end - 1) // WIDTH + 1)
+
+        def open_(block: int, r: int = r, first: int = first, end: int = end) -> int:
+            at = block * WIDTH
+            lo, hi = max(first - at, 0), min(end - at, WIDTH)
+            return ((1 << hi) - (1 << lo)) & ~masks[root[r]].get(block, 0) if lo < hi else 0
+
+        if not any(map(open_, blocks)):
+            continue
+        for s in index.partners(ids[ends[r] : ends[r + 1]].tolist(), int(sizes[r]), blocks, open_, similarity):
+            left.append(by_size[s])
+            right.append(by_size[r])
+            x, y = root[r], root[s]
+            if len(inside[x]) < len(inside[y]):
+                x, y = y, x
+            for k in inside[y]:
+                root[k] = x
+            inside[x] += inside.pop(y)
+            into = masks[x]
+            for block, mask in masks.pop(y).items():
+                into[block] = into.get(block, 0) | mask
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
@@ -215,6 +334,15 @@ def _sets_and_counts(words: int):
     return run
 
 
+def _hot_level(level: np.ndarray, hot: int) -> int:
+    """The level from which a cell is hot: `hot` shingles, or four times the average cell's where that is more.
+
+    Were the bound fixed, every cell of a large corpus would pass it.
+    """
+    average = float(np.exp2(level / 4).mean()) - 1
+    return int(4 * np.log2(max(hot, 4 * average) + 1))
+
+
 def _levels(parts: DataFrame) -> np.ndarray:
     """The sketch as levels, four for each doubling: a byte for each cell. Parts are added up on the executors."""
 
@@ -372,43 +500,46 @@ def _search_groups(words: int, similarity: int):
     return run
 
 
-def _blocks(group: DataFrame, weights: DataFrame, texts: DataFrame, words: int, similarity: int, most: int) -> DataFrame:
-    """(comp, a, b, label, doc_id) of groups of more than `most` shingles: blocks, and the pairs of them to search."""
-    big = cut(group.join(weights.where(F.col("weight") > most), "comp"), "large")
-    picks = big.groupBy("comp").agg(*(F.min(F.struct(F.xxhash64(F.lit(k), "doc_id"), "doc_id")).alias(f"l{k}") for k in range(LEADERS)))
-    picks = picks.select("comp", F.explode(F.array_distinct(F.array(*(F.col(f"l{k}.doc_id") for k in range(LEADERS))))).alias("leader"))
-    leaders = cut(picks.join(texts.select(F.col("doc_id").alias("leader"), F.col("text").alias("leader_text")), "leader"), "leaders")
-    read = big.select("comp", "doc_id").join(texts, "doc_id")
-
-    def verify(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            links = []
-            for doc, text, leader, leader_text in pdf[["doc_id", "text", "leader", "leader_text"]].itertuples(index=False):
-                if leader not in known:
-                    if len(known) > 64:
-                        known.clear()
-                    known[leader] = shingles(leader_text, words)
-                s, t = shingles(text, words), known[leader]
-                shared = len(np.intersect1d(s, t, assume_unique=True))
-                if doc != leader and 100 * shared >= similarity * (len(s) + len(t) - shared):
-                    links.append((doc, leader))
-            yield pd.DataFrame(links, columns=["src", "dst"], dtype="int64")
-
-    links = cut(read.join(leaders, "comp").mapInPandas(_forgetting(verify), "src long, dst long"), "leader-links")
+def _search_texts(texts: DataFrame, work: DataFrame, words: int, similarity: int) -> DataFrame:
+    """Links within each (comp, a, b) of `work`, rows (comp, a, b, label, doc_id)."""
+    work = cut(work, "work")
+    small = work.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    full = texts.join(F.broadcast(work) if small else work, "doc_id").select("comp", "a", "b", "label", "doc_id", "text")
+    return full.repartition("comp", "a", "b").sortWithinPartitions("comp", "a", "b", "doc_id").mapInPandas(_forgetting(_search_groups(words, similarity)), "src long, dst long")
+
+
+def _blocks(group: DataFrame, weights: DataFrame, texts: DataFrame, words: int, similarity: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(work, links) of groups with more than `most` shingles or GROUP_DOCS documents: the links found within blocks,
+    and pairs of blocks (comp, a, b, label, doc_id) still to search."""
+    a_block = F.greatest(F.lit(BLOCK_DOCS), F.least(F.lit(MOST_BLOCK_DOCS), F.floor(F.col("docs") / LEAST_PART)))
+    large = cut(weights.where(_is_large(most)).select("comp", a_block.alias("a_block"), F.greatest(F.ceil(F.col("weight") * 2 / most), F.ceil(F.col("docs") / a_block)).alias("parts")), "large")
+    big = cut(group.join(large, "comp"), "large-groups")
+    picks = big.groupBy("comp").agg(F.first("parts").alias("parts"), *(F.min(F.struct(F.xxhash64(F.lit(k), "doc_id"), "doc_id")).alias(f"l{k}") for k in range(LEADERS)))
+    leaders = cut(picks.select("comp", "parts", F.explode(F.array_distinct(F.array(*(F.col(f"l{k}.doc_id") for k in range(LEADERS))))).alias("doc_id")), "leaders")
+    dealt = big.select("comp", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.col("parts")).alias("a"), "doc_id")
+    everywhere = leaders.select("comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("a"), "doc_id")
+    first = dealt.union(everywhere).distinct().select("comp", "a", F.col("a").alias("b"), F.col("doc_id").alias("label"), "doc_id")
+    links = cut(_search_texts(texts, first, words, similarity), "block-links")
     labels = cut(connected_components(links), "labels")
-    # Documents that no leader links with stand alone: their label is their own id, and they share blocks.
-    named = big.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("comp", "doc_id", "n", F.col("component").alias("led"))
-    sums = named.groupBy("comp", "led").agg(F.sum("n").alias("w"))
-    of = cut(sums.select(F.col("comp").alias("c2"), F.col("led").alias("l2"), F.greatest(F.lit(1), F.ceil(F.col("w") * 2 / most)).cast("int").alias("parts")), "block-sizes")
+    named = big.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("comp", "doc_id", "n", "a_block", F.coalesce("component", "doc_id").alias("label"))
+    named = cut(named, "named")
+    # What is connected and would fill a block has blocks of its own; the rest shares blocks.
+    sums = named.groupBy("comp", "label", "a_block").agg(F.sum("n").alias("w"), F.count("*").alias("c"))
+    led = cut(sums.where((F.col("c") * 2 >= F.col("a_block")) | (F.col("w") * 4 >= most)).select("comp", "label", F.col("label").alias("led")), "led")
+    named = cut(named.join(led, ["comp", "label"], "left"), "led-or-not")
+    sums = named.groupBy("comp", "led", "a_block").agg(F.sum("n").alias("w"), F.count("*").alias("c"))
+    of = cut(sums.select(F.col("comp").alias("c2"), F.col("led").alias("l2"), F.greatest(F.lit(1), F.ceil(F.col("w") * 2 / most), F.ceil(F.col("c") / F.col("a_block"))).alias("parts")), "block-sizes")
     placed = named.join(of, (named["comp"] == of["c2"]) & named["led"].eqNullSafe(of["l2"]))
-    placed = cut(placed.select("comp", "doc_id", "led", F.xxhash64(F.lit(11), F.coalesce("led", F.lit(-1)), F.pmod(F.xxhash64("doc_id"), F.col("parts"))).alias("block")), "placed")
+    placed = cut(placed.select("comp", "doc_id", "label", "led", F.xxhash64(F.lit(11), F.coalesce("led", F.lit(-1)), F.pmod(F.xxhash64("doc_id"), F.col("parts"))).alias("block")), "placed")
     kinds = cut(placed.groupBy("comp", "block").agg(F.max("led").alias("led")), "blocks")
     x, y = kinds.select("comp", F.col("block").alias("a"), F.col("led").alias("la")), kinds.select("comp", F.col("block").alias("b"), F.col("led").alias("lb"))
     pairs = x.join(y, "comp").where((F.col("a") <= F.col("b")) & (F.col("la").isNull() | F.col("lb").isNull() | (F.col("la") != F.col("lb"))))
     ends = cut(pairs.select("comp", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block")), "pairs")
-    searched = placed.join(ends, ["comp", "block"]).select("comp", "a", "b", F.coalesce("led", "doc_id").alias("label"), "doc_id")
-    return searched, links
+    return placed.join(ends, ["comp", "block"]).select("comp", "a", "b", "label", "doc_id"), links
+
+
+def _is_large(most: int):
+    return (F.col("weight") > most) | (F.col("docs") > GROUP_DOCS)
 
 
 def classes_and_links(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, group_shingles: int = GROUP_SHINGLES, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -419,10 +550,11 @@ def classes_and_links(docs: DataFrame, words: int = WORDS, similarity: int = SIM
     sets = both.where(~F.col("row")).drop("row")
     classes = cut(sets.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("node").alias("node")), "classes")
     spark = docs.sparkSession
-    level = spark.sparkContext.broadcast(_levels(both.where("row")))
+    levels = _levels(both.where("row"))
+    hot_level, level = _hot_level(levels, hot), spark.sparkContext.broadcast(levels)
     total = classes.agg(F.sum("n")).first()[0] or 0
     bits = max(LEAST_BUCKETS, int(total) // (3 * BUCKET_SHINGLES)).bit_length() - 1
-    parts = texts.where("doc_id is not null").mapInPandas(_forgetting(_prefix_parts(level, words, similarity, int(4 * np.log2(hot + 1)), bits)), PARTS)
+    parts = texts.where("doc_id is not null").mapInPandas(_forgetting(_prefix_parts(level, words, similarity, hot_level, bits)), PARTS)
     shared = cut(parts.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_forgetting(_shared(similarity)), SHARED), "shared")
     # The least partner has least_shared(n) shingles, and so at least its spare in common.
     need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * similarity / 100) / SPARE))
@@ -436,15 +568,13 @@ def classes_and_links(docs: DataFrame, words: int = WORDS, similarity: int = SIM
     stars = often.join(least, ["h", "salt"]).select(F.col("m").alias("src"), F.col("node").alias("dst")).union(least.join(lowest, "h").select(F.col("m0").alias("src"), F.col("m").alias("dst")))
     groups = cut(connected_components(chained.union(stars), shrink=False), "groups")
     group = cut(classes.select("node", F.col("rep").alias("doc_id"), "n").join(groups.select("node", F.col("component").alias("comp")), "node").select("doc_id", "comp", "n"), "group")
-    weights = cut(group.groupBy("comp").agg(F.sum("n").alias("weight")), "weights")
-    work = group.join(weights.where(F.col("weight") <= group_shingles), "comp").select("comp", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.col("doc_id").alias("label"), "doc_id")
+    weights = cut(group.groupBy("comp").agg(F.sum("n").alias("weight"), F.count("*").alias("docs")), "weights")
+    work = group.join(weights.where(~_is_large(group_shingles)), "comp").select("comp", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.col("doc_id").alias("label"), "doc_id")
     more = None
-    if weights.where(F.col("weight") > group_shingles).limit(1).count():
+    if weights.where(_is_large(group_shingles)).limit(1).count():
         searched, more = _blocks(group, weights, texts.where("doc_id is not null"), words, similarity, group_shingles)
         work = work.union(searched)
-    small = work.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    full = texts.join(F.broadcast(work) if small else work, "doc_id").select("comp", "a", "b", "label", "doc_id", "text")
-    found = full.repartition("comp", "a", "b").sortWithinPartitions("comp", "a", "b", "doc_id").mapInPandas(_forgetting(_search_groups(words, similarity)), "src long, dst long")
+    found = _search_texts(texts, work, words, similarity)
     links = cut(found.union(more) if more is not None else found, "links")
     return sets, classes, links
 

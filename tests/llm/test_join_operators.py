@@ -1,6 +1,7 @@
 """Near-duplicates of texts and vectors, components, exact top-k: brute force on small tables."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -59,8 +60,12 @@ def near_texts(seed=7):
     return out + [out[0], out[3].upper(), None, "", " \t", "one", "one", "One", "é É x y z w", "a b c d"]
 
 
-@pytest.mark.parametrize("settings", [{}, {"group_shingles": 60, "hot": 2}])
-def test_jaccard_join_matches_brute_force(spark, settings):
+@pytest.mark.parametrize("settings", [{}, {"group_shingles": 60, "hot": 2}, {"group_docs": 3}])
+def test_jaccard_join_matches_brute_force(spark, settings, monkeypatch):
+    if "group_docs" in settings:
+        settings = {}
+        monkeypatch.setattr(jaccard, "GROUP_DOCS", 3)
+        monkeypatch.setattr(jaccard, "BLOCK_DOCS", 2)
     texts = near_texts()
     df = spark.createDataFrame([(k, t, 1, "k") for k, t in enumerate(texts)], "doc_id long, text string, n int, key string")
     sets = [shingle_set(t) for t in texts]
@@ -85,6 +90,46 @@ def test_jaccard_search_by_divide_skip():
         assert set(map(frozenset, zip(u.tolist(), v.tolist(), strict=True))) <= set(map(frozenset, pairs))
 
 
+def test_jaccard_search_of_large_groups():
+    # Several blocks of documents: two clusters, one of which grows over many sizes, and sets that nearly link.
+    rng = np.random.default_rng(5)
+    new = lambda n: rng.integers(0, 1 << 60, n).astype(np.uint64)
+    a, b, c = new(120), new(40), new(29)
+    sets = [np.unique(np.concatenate([a[: 60 + k // 5], new(2)])) for k in range(300)]
+    sets += [b[rng.random(40) < 0.93] for _ in range(200)] + [np.unique(np.concatenate([c, new(9)])) for _ in range(300)] + [np.empty(0, np.uint64)] * 3
+    sets = [sets[k] for k in rng.permutation(len(sets))]
+    ids = {h: k for k, h in enumerate(np.unique(np.concatenate(sets)).tolist())}
+    has = np.zeros((len(sets), len(ids)), np.float32)
+    for k, s in enumerate(sets):
+        has[k, [ids[h] for h in s.tolist()]] = 1
+    both, size = has @ has.T, has.sum(1)
+    links = (100 * both >= 75 * (size[:, None] + size - both)) & (both > 0)
+    u, v = jaccard.search(sets)
+    want = least_labels(len(sets), *np.nonzero(links))
+    assert links[u, v].all() and (least_labels(len(sets), u, v) == want).all()
+    assert len(u) == len(sets) - len(set(want.tolist()))  # no link that connects nothing
+    given = want.copy()
+    given[::2] = -np.arange(1, len(given[::2]) + 1)
+    u, v = jaccard.search(sets, given)
+    assert links[u, v].all()
+    known = [(k, int(np.flatnonzero(given == g)[0])) for k, g in enumerate(given)]
+    assert (least_labels(len(sets), np.r_[u, [x for x, _ in known]], np.r_[v, [y for _, y in known]]) == want).all()
+
+
+def test_jaccard_search_is_linear_in_its_candidates():
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 1 << 60, 29).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base, rng.integers(0, 1 << 60, 9).astype(np.uint64)])) for _ in range(4_000)]
+    begun = time.process_time()
+    assert len(jaccard.search(sets)[0]) == 0
+    assert time.process_time() - begun < 5
+
+
+def test_jaccard_hot_level_follows_the_average_cell():
+    assert jaccard._hot_level(np.zeros(8, np.uint8), 200) == int(4 * np.log2(201))
+    assert jaccard._hot_level(np.full(8, 40, np.uint8), 200) > 40
+
+
 def test_jaccard_odd_rows(spark):
     schema = "doc_id long, text string"
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "q r s t u v"), (4, "q r s t u v"), (9, "w " * 50_000), (8, None), (7, "a b c d e f")]
