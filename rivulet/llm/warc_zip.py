@@ -250,23 +250,49 @@ def pack(pages: DataFrame, out_dir: str, archive_bytes: int = ARCHIVE_BYTES) ->
 
 
 READ_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-#: Index entries that one reading task takes at a time.
-RANGE_RECORDS = 4_096
+#: Index entries of one range of work; bytes of an index that are looked at at a time.
+RANGE_RECORDS, INDEX_BYTES = 4_096, 8 << 20
+#: Reading tasks, at most: beyond it a task takes several ranges, one after the other.
+MOST_TASKS = 20_000
+
+
+def stretches(f: BinaryIO, start: int, size: int, records: int) -> Iterator[tuple[int, int, int]]:
+    """(first byte, bytes, lines) of each `records` lines of an index; no more of it is held than INDEX_BYTES."""
+    begin = at = start
+    lines = 0
+    while at < start + size:
+        block = read_range(f, at, min(INDEX_BYTES, start + size - at))
+        p = block.find(b"\n") + 1
+        while p:
+            lines += 1
+            if lines == records:
+                yield begin, at + p - begin, lines
+                begin, lines = at + p, 0
+            p = block.find(b"\n", p) + 1
+        at += len(block)
+    if begin < at:
+        yield begin, at - begin, lines + (block[-1:] != b"\n")
 
 
 def ranges(archives: DataFrame, records: int = RANGE_RECORDS) -> DataFrame:
-    """(uri, data_start, first, count, index_start, index_bytes): stretches of each archive's index, as work for readers."""
+    """(uri, data_start, index_start, index_bytes): stretches of each archive's index, as work for readers."""
 
     def plan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for uri, size, n in zip(pdf["uri"], pdf["bytes"], pdf["records"], strict=True):
+            for uri, size in zip(pdf["uri"], pdf["bytes"], strict=True):
                 with open_input(uri) as f:
                     members = {m.name: m for m in directory(f, int(size))}
-                    rows += [(uri, data_at(f, members[DATA]), first, min(records, n - first), data_at(f, members[INDEX]), members[INDEX].size) for first in range(0, n, records)]
-            yield pd.DataFrame(rows, columns=["uri", "data_start", "first", "count", "index_start", "index_bytes"])
+                    data, index = data_at(f, members[DATA]), members[INDEX]
+                    rows = [(uri, data, first, n) for first, n, _ in stretches(f, data_at(f, index), index.size, records)]
+                yield pd.DataFrame(rows, columns=["uri", "data_start", "index_start", "index_bytes"])
 
-    return archives.mapInPandas(plan, "uri string, data_start long, first long, count long, index_start long, index_bytes long")
+    return archives.mapInPandas(plan, "uri string, data_start long, index_start long, index_bytes long")
+
+
+def dealt(work: DataFrame) -> DataFrame:
+    """Ranges, written and dealt over tasks of their own: rows of work are small, what they stand for isn't."""
+    work = cut(work, "ranges")
+    return work.repartition(max(1, min(MOST_TASKS, work.count())), "uri", "index_start")
 
 
 def read(work: DataFrame) -> DataFrame:
@@ -274,11 +300,11 @@ def read(work: DataFrame) -> DataFrame:
 
     def fetch(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for uri, start, first, count, index_start, index_bytes in pdf.itertuples(index=False):
+            for uri, start, index_start, index_bytes in pdf.itertuples(index=False):
                 with open_input(uri) as f:
-                    entries = [json.loads(x) for x in read_range(f, index_start, index_bytes).splitlines()[first : first + count]]
                     rows, held = [], 0
-                    for e in entries:
+                    for line in read_range(f, index_start, index_bytes).splitlines():
+                        e = json.loads(line)
                         rows.append(_row(zlib.decompress(read_range(f, start + e["offset"], e["length"]), 31)))
                         held += len(rows[-1][-1] or b"")
                         if held >= 16 << 20:
@@ -302,25 +328,27 @@ def _row(record: bytes) -> tuple:
 
 
 def with_referents(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Adds refers_to: for a payload of at least `min_bytes` bytes that a smaller page_id has too, the least such id.
+    """(page_id, url, html, refers_to) of each row: for a payload of at least `min_bytes` bytes that a smaller page_id
+    has too, the least such id.
 
     Null html is an empty payload. Rows with null page_id are responses and are referred to by none; of rows with the
-    same id and payload all are responses. A digest that a great part of the rows shares is split by the skew join:
-    the least ids are written first, so that both sides of the join are plain shuffles.
+    same id and payload all are responses. Other columns are left out; an empty table gives an empty result.
+
+    Payloads meet by digest without their html: a digest that a great part of the rows shares moves ids alone. Those
+    that revisit are then joined by (page_id, digest), which spreads evenly.
     """
     body = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", "html", F.sha2(body, 256).alias("__sha"), F.octet_length(body).alias("__n"))
-    first = cut(rows.where(F.col("__n") >= min_bytes).groupBy("__sha").agg(F.min("page_id").alias("__first"), F.count("*").alias("__of")).where("__of > 1").select("__sha", "__first"), "payloads")
-    at = rows.join(first, "__sha", "left")
-    refers = F.when((F.col("__n") >= min_bytes) & (F.col("__first") < F.col("page_id")), F.col("__first"))
-    return at.select("page_id", "url", "html", refers.alias("refers_to"))
+    ids = pages.select("page_id", F.sha2(body, 256).alias("__sha"), F.octet_length(body).alias("__n")).where((F.col("__n") >= min_bytes) & F.col("page_id").isNotNull())
+    first = cut(ids.groupBy("__sha").agg(F.min("page_id").alias("__first"), F.count("*").alias("__of")).where("__of > 1").select("__sha", "__first"), "payloads")
+    again = cut(ids.join(first, "__sha").where("__first < page_id").select("page_id", "__sha", F.col("__first").alias("__refers")).distinct(), "revisits")
+    rows = pages.select("page_id", "url", "html", F.sha2(body, 256).alias("__sha"))
+    return rows.join(again, ["page_id", "__sha"], "left").select("page_id", "url", "html", F.col("__refers").alias("refers_to"))
 
 
 def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = with_referents(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     archives = cut(pack(pages, new_path(spark, "warc")), "manifest")
-    work = ranges(archives).repartition(F.col("uri"), F.col("first"))
-    return read(work).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read(dealt(ranges(archives))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES = {"op4_warc_zip": op4_warc_zip}

@@ -35,7 +35,7 @@ def brute_warc(rows):
 def through(spark, rows, archive_bytes=400):
     pages = warc_zip.with_referents(spark.createDataFrame(rows, PAGES).select("page_id", "url", "html"))
     archives = cut(warc_zip.pack(pages, new_path(spark, "t"), archive_bytes), "m")
-    return archives, warc_zip.read(warc_zip.ranges(archives, 2))
+    return archives, warc_zip.read(warc_zip.dealt(warc_zip.ranges(archives, 2)))
 
 
 def test_warc_round_trip(spark):
@@ -62,6 +62,23 @@ def test_warc_empty_table(spark):
     assert through(spark, [])[1].count() == 0
 
 
+def test_warc_index_stretches(monkeypatch):
+    monkeypatch.setattr(warc_zip, "INDEX_BYTES", 5)
+    for lines, end in ((7, b"\n"), (6, b"\n"), (7, b""), (1, b"\n"), (0, b"")):
+        index = b"\n".join(b"x" * (k % 9) + b"%d" % k for k in range(lines)) + (end if lines else b"")
+        got = list(warc_zip.stretches(io.BytesIO(b"head" + index + b"tail"), 4, len(index), 3))
+        parts = [(b"head" + index)[a : a + n] for a, n, _ in got]
+        assert b"".join(parts) == index and [x.splitlines() for x in parts] == [index.splitlines()[k : k + 3] for k in range(0, lines, 3)]
+        assert sum(n for _, _, n in got) == lines
+
+
+def test_warc_clashing_columns(spark):
+    rows = [(k, "u", f"x{k % 3}", "", 1, "s", 2, "t") for k in range(9)]
+    df = spark.createDataFrame(rows, PAGES + ", __first long, __sha string, __n int, payload string")
+    got = {r["page_id"]: r["refers_to"] for r in warc_zip.with_referents(df).collect()}
+    assert got == {k: None if k < 3 else k % 3 for k in range(9)}
+
+
 def test_zip_directory_of_other_writers():
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
