@@ -1,9 +1,9 @@
 """Mixing sources to target weights: token blocks, multinomial shard counts, pseudorandom index permutations.
 
 Words are packed into blocks of BLOCK_WORDS within each source. Each output shard draws its counts of blocks by source
-from a multinomial over what the sources still owe; the last shard takes the rest, so totals meet the targets. A slot
-is mapped through its source's keyed permutation of block indices, a new one for each pass over the source, and the
-slots join the blocks by (source, index).
+from a multinomial over what the sources still owe; the last shard takes the rest. A slot is mapped through its source's
+keyed permutation of block indices, a new one for each pass over the source, and the slots join the blocks by (source,
+index). A source's last slot is cut to the words it still owes, so totals meet the targets to the word.
 """
 
 from __future__ import annotations
@@ -22,8 +22,14 @@ from rivulet.llm.common import WORD, cut, table
 BLOCK_WORDS = 256
 #: No source is taken more often than this.
 MAX_PASSES = 3
-#: Blocks in an output shard, where there are fewer than MAX_SHARDS shards; beyond that shards grow.
-SHARD_BLOCKS, MAX_SHARDS = 4_096, 1_024
+#: Blocks in an output shard, where that makes LEAST_SHARDS to MAX_SHARDS shards; else shards are smaller, or grow.
+SHARD_BLOCKS, LEAST_SHARDS, MAX_SHARDS = 4_096, 16, 1_024
+#: Rows of the plan, at most: a row for each shard and source. With more sources there are fewer shards.
+PLAN_ROWS = 1 << 20
+#: Slots of a row of work, and rows of work in tasks of their own, at most.
+STEP, MOST_TASKS = 1 << 14, 4_096
+#: Up to so many sources are sent to every executor; more are joined by a shuffle.
+BROADCAST_SOURCES = 20_000
 #: Documents of a source fall into this many ranges whose sums are added up first, so that no source is one task's.
 BUCKETS = 1_024
 SEED = 17
@@ -74,19 +80,27 @@ def draws(slots: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
     return out
 
 
-def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
-    """A keyed permutation of 0..n-1: four Feistel rounds on a x b >= n, walked on until the value is below n."""
+def _network(n: int, key: int) -> tuple[int, int, np.ndarray]:
     a = int(np.ceil(np.sqrt(n)))
-    b = -(-n // a)
-    keys = np.frombuffer(hashlib.blake2b(str(key).encode(), digest_size=32).digest(), np.uint64)
+    return a, -(-n // a), np.frombuffer(hashlib.blake2b(str(key).encode(), digest_size=32).digest(), np.uint64)
+
+
+def permuted(index: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
+    """A keyed permutation of 0..n-1: four Feistel rounds on a x b >= n, walked on until the value is below n.
+
+    `back`: its inverse.
+    """
+    a, b, keys = _network(n, key)
     out, todo = index.astype(np.uint64).copy(), np.arange(len(index))
     while len(todo):
         left, right = out[todo] // np.uint64(b), out[todo] % np.uint64(b)
-        for r in range(4):
+        for r in (3, 2, 1, 0) if back else (0, 1, 2, 3):
             if r % 2:
-                right = (right + _mixed(left, keys[r])) % np.uint64(b)
+                by = _mixed(left, keys[r]) % np.uint64(b)
+                right = (right + (np.uint64(b) - by if back else by)) % np.uint64(b)
             else:
-                left = (left + _mixed(right, keys[r])) % np.uint64(a)
+                by = _mixed(right, keys[r]) % np.uint64(a)
+                left = (left + (np.uint64(a) - by if back else by)) % np.uint64(a)
         out[todo] = left * np.uint64(b) + right
         todo = todo[out[todo] >= n]
     return out.astype(np.int64)
@@ -99,6 +113,33 @@ def _mixed(x: np.ndarray, key: np.uint64) -> np.ndarray:
         return (x ^ (x >> np.uint64(29))) >> np.uint64(8)
 
 
+def pass_key(seed: int, source: int, turn: int) -> int:
+    return (seed * 1_000_003 + source) * (MAX_PASSES + 1) + turn
+
+
+def slots_for(want: int, size: int, block_words: int, seed: int, source: int) -> tuple[int, int]:
+    """(slots, words of the last one) that together have `want` words, at most MAX_PASSES times `size`.
+
+    A pass has `size` words. In the last one, all blocks are full but for the source's last: it is known at which slot
+    that comes.
+    """
+    if not size or not want:
+        return 0, 0
+    blocks = -(-size // block_words)
+    turns, rest = divmod(want, size)
+    short = size - (blocks - 1) * block_words
+    if not rest:
+        turns, rest = turns - 1, size
+    at = int(permuted(np.array([blocks - 1]), blocks, pass_key(seed, source, turns), back=True)[0])
+    n = -(-rest // block_words)
+    if at < n:  # the short block is among these
+        n = at + 1 + max(0, -(-(rest - at * block_words - short) // block_words))
+        if rest <= at * block_words:
+            n = -(-rest // block_words)
+    before = (n - 1) * block_words - (block_words - short if at < n - 1 else 0)
+    return turns * blocks + n, rest - before
+
+
 def sized(docs: DataFrame, whole: bool = False) -> DataFrame:
     """(doc_id, source, size, th, bucket): what the packing needs; `whole` adds __doc, the row as it was."""
     kept = [F.struct(*(docs[c] for c in docs.columns)).alias("__doc")] if whole else []
@@ -129,15 +170,18 @@ def offsets(rows: DataFrame) -> DataFrame:
 
 def _numbered(rows: DataFrame, known: DataFrame) -> DataFrame:
     """Adds the number of a row's source, its words and its target; `known` has a row for each source."""
-    return rows.join(F.broadcast(known), rows["source"].eqNullSafe(known["__source"])).drop("__source")
+    small = known.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    return rows.join(F.broadcast(known) if small else known, rows["source"].eqNullSafe(known["__source"])).drop("__source")
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, pieces, slots) of a mix.
 
     documents: doc_id, source, size, source_size, target, taken. pieces: row's source number, block, first word and
-    words of it in the block. slots: shard, slot, source number, pass, block. Null ids, sources and texts are kept;
-    columns of other names are ignored. An empty table gives empty results.
+    words of it in the block, and the place of these there. slots: shard, slot, source number, pass, block, words (of
+    the block that are taken, from its first). Null ids, sources and texts are kept; texts without words, null and
+    empty ones take part with none; repeated rows are rows of their own; columns of other names are ignored. An empty
+    table gives empty results.
     """
     documents, pieces, slots, _ = _mix(docs, block_words, seed)
     return documents, pieces, slots
@@ -150,38 +194,44 @@ def _mix(docs: DataFrame, block_words: int, seed: int) -> tuple[DataFrame, DataF
     sizes = np.array([n for _, n in sources], np.int64)
     target = targets(sizes, weights(len(sources)))
     blocks = -(-sizes // block_words)
-    slots = np.where(blocks > 0, np.minimum(np.rint(target * blocks / np.maximum(sizes, 1)), MAX_PASSES * blocks), 0).astype(np.int64)
+    asked = [slots_for(int(min(round(t), MAX_PASSES * n)), int(n), block_words, seed, i) for i, (t, n) in enumerate(zip(target, sizes, strict=True))]
+    slots, last = np.array([n for n, _ in asked], np.int64), [w for _, w in asked]
     known = spark.createDataFrame([(i, x, int(n), float(t)) for i, ((x, n), t) in enumerate(zip(sources, target, strict=True))], "__s int, __source string, source_size long, target double")
     rows = cut(_numbered(rows, known), "sourced")
-    shards = int(min(MAX_SHARDS, max(1, -(-int(slots.sum()) // SHARD_BLOCKS))))
+    total = int(slots.sum())
+    shards = max(1, min(MAX_SHARDS, PLAN_ROWS // max(1, len(sources)), max(LEAST_SHARDS, -(-total // SHARD_BLOCKS)), total))
     counts = draws(slots, shards, seed)
     starts = np.cumsum(counts, 0) - counts
-    plan = [(s, int(i), int(starts[s, i]), int(counts[s, i]), int(blocks[i])) for s in range(shards) for i in np.flatnonzero(counts[s])]
-    plan = spark.createDataFrame(plan, "shard int, s int, first long, n long, blocks long")
-    step = 1 << 14
-    spread = plan.select("shard", "s", "blocks", "first", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / step))).alias("k"))
-    spread = spread.select("shard", "s", "blocks", (F.col("first") + F.col("k") * step).alias("first"), F.least(F.lit(step).cast("long"), F.col("n") - F.col("k") * step).alias("n"))
+    plan = [(s, int(i), int(starts[s, i]), int(counts[s, i]), int(blocks[i]), int(slots[i]), int(last[i])) for s in range(shards) for i in np.flatnonzero(counts[s])]
+    plan = spark.createDataFrame(plan, "shard int, s int, first long, n long, blocks long, slots long, last long")
+    spread = plan.select("shard", "s", "blocks", "slots", "last", "first", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / STEP))).alias("k"))
+    spread = spread.select("shard", "s", "blocks", (F.col("first") + F.col("k") * STEP).alias("first"), F.least(F.lit(STEP).cast("long"), F.col("n") - F.col("k") * STEP).alias("n"), "slots", "last")
 
     def map_slots(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for shard, s, n_blocks, first, n in pdf.itertuples(index=False):
+            for shard, s, n_blocks, first, n, n_slots, words_left in pdf.itertuples(index=False):
                 at = np.arange(first, first + n)
                 turn, block = at // n_blocks, np.empty(n, np.int64)
                 for t in np.unique(turn):
                     now = turn == t
-                    block[now] = permuted(at[now] % n_blocks, int(n_blocks), (seed * 1_000_003 + int(s)) * 4 + int(t))
-                yield pd.DataFrame({"shard": shard, "slot": at, "s": s, "pass": turn, "block": block})
+                    block[now] = permuted(at[now] % n_blocks, int(n_blocks), pass_key(seed, int(s), int(t)))
+                yield pd.DataFrame({"shard": shard, "slot": at, "s": s, "pass": turn, "block": block, "words": np.where(at == n_slots - 1, words_left, block_words)})
 
-    drawn = spread.repartition("shard", "s", "first").mapInPandas(map_slots, "shard int, slot long, s int, pass long, block long")
+    tasks = max(1, min(MOST_TASKS, int((-(-counts // STEP)).sum())))
+    drawn = spread.repartition(tasks, "shard", "s", "first").mapInPandas(map_slots, "shard int, slot long, s int, pass long, block long, words long")
     # A row of `size` words touches the blocks of its first to its last word; one without words touches none.
     run = offsets(rows)
     touched = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)))
     lo = F.greatest(F.col("start"), F.col("block") * block_words)
     hi = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
-    pieces = run.select(F.col("__s").alias("s"), "doc_id", "size", "start", F.explode(touched).alias("block")).select("s", "block", "doc_id", "size", "start", (lo - F.col("start")).alias("first"), (hi - lo).alias("n"))
+    pieces = run.select(F.col("__s").alias("s"), "doc_id", "size", "start", F.explode(touched).alias("block"))
+    pieces = pieces.select("s", "block", "doc_id", "size", "start", (lo - F.col("start")).alias("first"), (hi - lo).alias("n"), (lo - F.col("block") * block_words).alias("at"))
     drawn = cut(drawn, "slots")
-    uses = cut(drawn.groupBy("s", "block").agg(F.count("*").alias("uses")), "uses")
-    taken = pieces.join(uses, ["s", "block"]).groupBy("s", "doc_id", "size", "start").agg(F.sum(F.col("n") * F.col("uses")).alias("taken"))
+    # Uses of a block as a whole, and the words of the use that is cut: a source has one such slot at most.
+    whole = F.col("words") >= block_words
+    uses = cut(drawn.groupBy("s", "block").agg(F.count(F.when(whole, 1)).alias("uses"), F.max(F.when(~whole, F.col("words"))).alias("part")), "uses")
+    some = F.greatest(F.lit(0), F.least("n", F.coalesce("part", F.lit(0)) - F.col("at")))
+    taken = pieces.join(uses, ["s", "block"]).groupBy("s", "doc_id", "size", "start").agg(F.sum(F.col("n") * F.col("uses") + some).alias("taken"))
     taken = taken.select(F.col("s").alias("t_s"), F.col("doc_id").alias("t_id"), F.col("start").alias("t_start"), F.col("taken"))
     words_of = run.join(taken, (run["__s"] == taken["t_s"]) & (run["start"] == taken["t_start"]) & (run["size"] > 0), "left")
     documents = words_of.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
@@ -213,7 +263,8 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) ->
     text has the words taken, n_chars (where there is such a column) its length. Documents without words are in no block.
     """
     _, pieces, drawn, known = _mix(docs, block_words, seed)
-    got = pieces.join(drawn.select("s", "block", "pass"), ["s", "block"]).groupBy("s", "start", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "n"))).alias("found"))
+    used = pieces.join(drawn.select("s", "block", "pass", "words"), ["s", "block"]).withColumn("n", F.least("n", F.col("words") - F.col("at"))).where("n > 0")
+    got = used.groupBy("s", "start", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "n"))).alias("found"))
     got = got.select(F.col("s").alias("g_s"), F.col("start").alias("g_start"), "found")
     rows = offsets(_numbered(sized(docs, whole=True), known)).where("size > 0")
     both = rows.join(got, (rows["__s"] == got["g_s"]) & (rows["start"] == got["g_start"]))
