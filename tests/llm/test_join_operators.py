@@ -211,6 +211,42 @@ def test_top_k_matches_brute_force(spark, blocks):
     assert sorted(map(tuple, got)) == want
 
 
+def brute_top(x, asked, k=5):
+    """By Python's integers; the shorter vector goes on with zeros."""
+    out = []
+    for q in asked:
+        best = sorted((-min(max(sum(a * b for a, b in zip(x[q], v, strict=False)), topk.LOWEST), topk.HIGHEST), c) for c, v in x.items() if c != q)[:k]
+        out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    return out
+
+
+@pytest.mark.parametrize("top", [100, 1 << 27, 1 << 40])
+def test_top_k_is_exact_for_large_components(spark, top):
+    rng = np.random.default_rng(3)
+    x = {k: [int(v) for v in rng.integers(top - 50, top, size=5)] for k in range(60)}
+    x |= {k: [c + int(e) for c, e in zip(x[k - 60], rng.integers(0, 2, 5), strict=True)] for k in range(60, 90)}
+    df = spark.createDataFrame(list(x.items()), "vec_id long, v array<long>")
+    got = topk.top_k(df, df.where("vec_id % 30 = 0"), pivots=5, vector_block=16)
+    assert sorted(map(tuple, got.collect())) == brute_top(x, (0, 30, 60))
+
+
+def test_top_k_of_vectors_of_many_lengths(spark):
+    rng = np.random.default_rng(2)
+    x = {k: rng.integers(-9, 9, k % 5).tolist() for k in range(40)}
+    rows = [(k, v, 1.0, "n", 2, 3) for k, v in x.items()] + [(90, [1, None], 1.0, "n", 2, 3)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>, score double, rank string, cell int, least int")
+    got = topk.top_k(df, df.where("vec_id % 8 = 0"), pivots=4, vector_block=4)
+    assert sorted(map(tuple, got.collect())) == brute_top(x, range(0, 40, 8))
+
+
+def test_top_k_of_repeated_rows(spark):
+    df = spark.createDataFrame([(1, [1, 0]), (1, [0, 1]), (2, [5, 1]), (2, [5, 1]), (3, [1, 7]), (4, [0, 0])], "vec_id long, v array<long>")
+    got = topk.top_k(df, df.where("vec_id = 4"), k=3, vector_block=2)
+    assert sorted(map(tuple, got.collect())) == [(4, 1, 1, 0), (4, 2, 1, 0), (4, 3, 2, 0)]
+    got = topk.top_k(df, df.where("vec_id = 1"), k=3, vector_block=2)
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 3, 7), (1, 2, 2, 5), (1, 3, 2, 5)]
+
+
 def test_top_k_odd_tables(spark):
     df = spark.createDataFrame([(1, [1, 2]), (2, [3, 4]), (3, [0, 0])], "vec_id long, v array<long>")
     assert [tuple(r) for r in topk.top_k(df, df.where("vec_id = 1")).orderBy("rank").collect()] == [(1, 1, 2, 11), (1, 2, 3, 0)]
