@@ -120,46 +120,94 @@ def test_url_rules_match_brute_force(spark):
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict or "allow")
 
 
+def brute_rules(rows, settings):
+    """{(items, label): (confidence, balanced, support)}: every set of the items that frequent tokens make."""
+    urls = [frozenset(t) for t, _ in rows]
+    of = {}
+    for token in set().union(*urls):
+        where = frozenset(k for k, t in enumerate(urls) if token in t)
+        if len(where) >= settings.min_support * len(rows):
+            of.setdefault(where, []).append(token)
+    items = {min(tokens): where for where, tokens in of.items()}
+    names = {min(tokens): tuple(sorted(tokens)) for tokens in of.values()}
+    labels = [x for _, x in rows]
+    all_, got = {}, {}
+    for n in range(1, len(items) + 1):
+        for some in itertools.combinations(sorted(items), n):
+            where = frozenset.intersection(*(items[k] for k in some))
+            for lab in set(labels):
+                f, base = sum(labels[k] == lab for k in where), labels.count(lab)
+                if f < settings.min_support * len(rows):
+                    continue
+                c, m, z = f / len(where), len(where), settings.z
+                all_[some, lab] = c
+                here, other = f / base, (m - f) / (len(rows) - base)
+                low = (c + z * z / (2 * m) - z * (c * (1 - c) / m + z * z / (4 * m * m)) ** 0.5) / (1 + z * z / m)
+                general = any(set(g) < set(some) and k == lab and d >= c for (g, k), d in all_.items())
+                if here / (here + other) >= settings.min_confidence and low > base / len(rows) and not general:
+                    got[tuple(names[k] for k in some), lab] = (c, here / (here + other), f / len(rows))
+    return got
+
+
+def tokens_of(spark, rows):
+    found = spark.createDataFrame([(u,) for u, _ in rows], "url string").select(url_filter.tokens(F.col("url")).alias("t")).collect()
+    return [(r["t"], lab) for r, (_, lab) in zip(found, rows, strict=True)]
+
+
 def test_url_association_rules(spark):
     rows = [(f"http://casino-{k}.net/en/{k}", "block") for k in range(30)] + [(f"http://blog-{k % 7}.net/en/{k}", "allow") for k in range(70)] + [("http://casino-a.net/de/9", "allow")] * 20
-    labelled = spark.createDataFrame([*rows, (None, "block"), ("http://x", None)], "url string, label string")
-    settings = url_filter.Mining(0.05, 0.8)
+    labelled = spark.createDataFrame([(u, x, 1, "t") for u, x in [*rows, (None, "block"), ("http://x", None)]], "url string, label string, row int, items string")
+    settings = url_filter.Mining(0.05, 0.8, 1.5)
     rules = url_filter.mine(labelled, settings)
-    got = {(tuple(r["tokens"]), r["label"]): r for r in rules.collect()}
-    total = [(set(r["t"]), lab) for r, lab in zip(spark.createDataFrame([(u,) for u, _ in rows], "url string").select(url_filter.tokens(F.col("url")).alias("t")).collect(), [x for _, x in rows], strict=True)]
-    for (tokens, label), r in got.items():
-        have = [lab for t, lab in total if t >= set(tokens)]
-        assert abs(r["confidence"] - have.count(label) / len(have)) < 1e-9 and r["confidence"] >= 0.8
-        assert r["anchor"] in tokens and abs(r["support"] - have.count(label) / len(total)) < 1e-9
-    assert (("@casino", "en"), "block") in got and (("@blog",), "allow") in got
+    got = {(tuple(map(tuple, r["tokens"])), r["label"]): (r["confidence"], r["balanced"], r["support"]) for r in rules.collect()}
+    want = brute_rules(tokens_of(spark, rows), settings)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+    assert ((("@#", "en"), ("@casino",)), "block") in got and ((("@blog",),), "allow") in got
+    assert all(r["anchor"] in r["tokens"] for r in rules.collect())
     pages = spark.createDataFrame([(1, "http://casino-99.net/en/1"), (2, "http://blog-1.net/x"), (3, None), (3, None), (None, "http://casino-b.net/de/2")], "page_id long, url string")
     out = url_filter.classify(pages, rules)
     assert sorted(((r["page_id"], r["mined"]) for r in out.collect()), key=str) == sorted([(1, "block"), (2, "allow"), (3, "allow"), (3, "allow"), (None, "allow")], key=str)
     assert url_filter.judge(pages.limit(0), labelled, settings=settings).count() == 0
+    assert url_filter.mine(labelled.where("label = 'block'"), settings).count() == 0
 
 
 def test_url_rules_of_many_tokens(spark):
-    # Each three of a, b, c, d are as often allowed as blocked; all four are always blocked. Then e changes nothing.
+    # Each three of a, b, c, d are as often allowed as blocked, 0.85 balanced; all four are always blocked. Then e changes nothing.
     four, five = ("a", "b", "c", "d"), ("a", "b", "c", "d", "e")
     rows = [(f"x://h/{'/'.join(four)}", "block")] * 10 + [(f"x://h/{'/'.join(five)}", "block")] * 10
     rows += [(f"x://h/{'/'.join(t for t in four if t != left)}", "allow") for left in four for _ in range(20)]
     rows += [("x://h/e", "allow")] * 30
-    rules = url_filter.mine(spark.createDataFrame(rows, "url string, label string"), url_filter.Mining(0.05, 0.6))
-    got = {(tuple(r["tokens"]), r["label"]): r["confidence"] for r in rules.collect()}
-    total = [({"@h", *u.removeprefix("x://h/").split("/")}, lab) for u, lab in rows]
-    want = {}
-    for n in range(1, 7):
-        for tokens in itertools.combinations(sorted(["@h", *five]), n):
-            have = [lab for t, lab in total if t >= set(tokens)]
-            for lab in ("allow", "block"):
-                c = have.count(lab) / len(have) if have else 0
-                if have.count(lab) >= 0.05 * len(rows) and c >= 0.6 and not any(set(g) < set(tokens) and k == lab and d >= c for (g, k), d in want.items()):
-                    want[tokens, lab] = c
-    assert got == pytest.approx(want) and got[four, "block"] == 1
+    settings = url_filter.Mining(0.05, 0.9, 1.0)
+    rules = url_filter.mine(spark.createDataFrame(rows, "url string, label string"), settings)
+    got = {(tuple(map(tuple, r["tokens"])), r["label"]): (r["confidence"], r["balanced"], r["support"]) for r in rules.collect()}
+    want = brute_rules(tokens_of(spark, rows), settings)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+    assert got[tuple((t,) for t in four), "block"][0] == 1
     pages = spark.createDataFrame([(1, "x://z/a/b/c/d"), (2, "x://z/a/b/c")], "page_id long, url string")
     assert {r["page_id"]: r["mined"] for r in url_filter.classify(pages, rules).collect()} == {1: "block", 2: "allow"}
 
 
+def test_url_rare_label_is_found_and_noise_is_not(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"http://{'bad' if k % 20 == 0 else 'good'}-{rng.integers(9)}.net/{rng.choice(['en', 'fr'])}/{k}", "block" if k % 20 == 0 and k % 3 else "allow") for k in range(1200)]
+    labelled = spark.createDataFrame(rows, "url string, label string")
+    assert {tuple(map(tuple, r["tokens"])) for r in url_filter.mine(labelled).where("label = 'block'").collect()} == {(("@bad",),)}
+    n = {(r["label"], r["mined"]): r["n"] for r in url_filter.held_out(labelled).collect()}
+    assert n["block", "block"] > 0 and ("block", "allow") not in n and n["allow", "block"] <= 0.1 * n["allow", "allow"]
+    noise = labelled.select("url", F.when(F.crc32("url") % 4 == 0, "block").otherwise("allow").alias("label"))
+    assert url_filter.mine(noise).count() <= 1
+
+
+def test_url_tokens_that_always_come_together(spark):
+    # Two to the 40th sets of tokens are frequent here; as one item they are one.
+    many = "/".join(f"part{chr(97 + k // 10)}{chr(97 + k % 10)}" for k in range(40))
+    rows = [(f"http://h.net/{many}/{k}", "block") for k in range(30)] + [(f"http://h.net/other/{k}", "allow") for k in range(60)]
+    rules = url_filter.mine(spark.createDataFrame(rows, "url string, label string")).where("label = 'block'").collect()
+    assert len(rules) == 1 and len(rules[0]["tokens"]) == 1 and len(rules[0]["tokens"][0]) == 40
+    pages = spark.createDataFrame([(1, "http://z/partab"), (2, "http://z/x")], "page_id long, url string")
+    assert {r["page_id"]: r["mined"] for r in url_filter.classify(pages, spark.createDataFrame(rules, url_filter.RULES_SCHEMA)).collect()} == {1: "block", 2: "allow"}
+
+
 # -- mixing ------------------------------------------------------------------------------------------------------------
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, start long, s int"
 
