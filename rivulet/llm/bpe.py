@@ -37,13 +37,22 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def falls_at_spaces(pattern: str) -> bool:
+    """Whether texts may be cut before single spaces and split part by part: known of the shipped pattern alone."""
+    import public_tokenizers
+
+    return pattern == public_tokenizers.PATTERN
+
+
 class Bpe:
-    """Encodes and decodes by a rank table. Every byte that may occur must be a token."""
+    """Encodes and decodes by a rank table. A text with a byte that is no token is refused with a ValueError."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+        self.by_spaces = falls_at_spaces(pattern)
         self.ranks, self.words = ranks, {i: t for t, i in ranks.items()}
         self.split = regex.compile(pattern).findall
         self.byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        self.missing = frozenset(b for b in range(256) if bytes([b]) not in ranks)
         pairs = {(ranks[t[:k]] << 32) | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
         self.pair = pairs
         # An open-addressed table of pairs, for looking up many at once.
@@ -189,6 +198,8 @@ class Bpe:
         groups: dict[int, list[tuple[str, bytes]]] = {}
         for p in pieces:
             raw = p.encode("utf-8", "surrogatepass")
+            if self.missing and not self.missing.isdisjoint(raw):
+                raise ValueError(f"bytes {sorted(self.missing.intersection(raw))} are no tokens of the vocabulary")
             if (whole := self.ranks.get(raw)) is not None:
                 self.pieces[p] = np.int32(whole).tobytes()
             elif len(raw) > GROUP_BYTES:
@@ -203,17 +214,17 @@ class Bpe:
     def encode_batch(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text.
 
-        No match of the pattern goes on from a non-space to a space, so a text falls at its spaces into chunks whose
-        matches don't depend on their neighbours, unless white space meets white space there; such texts are split
-        as a whole.
+        No match of the shipped pattern goes on from a non-space to a space, so a text falls at its spaces into chunks
+        whose matches don't depend on their neighbours, unless white space meets white space there; such texts, and
+        all texts with another pattern, are split as a whole.
         """
         if len(self.chunks) > REMEMBER or len(self.pieces) > REMEMBER:
             self.chunks, self.pieces = {}, {}
-        parts = [t.split(" ") for t in texts]
+        parts = [t.split(" ") if self.by_spaces else [t] for t in texts]
         new = {w: self.split(" " + w) for w in set().union(*(p[1:] for p in parts)).difference(self.chunks)}
         alone: dict[int, list[str]] = {}
         for k, (text, part) in enumerate(zip(texts, parts, strict=True)):
-            if " " in text and ("" in part or WHITE(text)):
+            if self.by_spaces and " " in text and ("" in part or WHITE(text)):
                 alone[k] = self.split(text)
             else:
                 alone[-k - 1] = self.split(part[0])

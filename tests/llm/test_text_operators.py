@@ -169,6 +169,20 @@ def test_bpe_group_and_single_merges_agree(ours):
     assert [np.frombuffer(x, np.int32).tolist() for x in ours.merge_group(pieces)] == [ours.merge_one(p) for p in pieces]
 
 
+@pytest.mark.parametrize("pattern", [r"\S+\s*|\s+", r"[^a]+|a", r"(?s:.)+"])
+def test_bpe_of_other_patterns(ours, pattern):
+    other, theirs = bpe.Bpe(ours.ranks, pattern), tiktoken.Encoding("y", pat_str=pattern, mergeable_ranks=ours.ranks, special_tokens={})
+    texts = ["one two  three a b", " lead and trail ", "a a a", "don't stop 12 34\n x", ""]
+    assert [x.tolist() for x in other.encode_batch(texts)] == [theirs.encode_ordinary(t) for t in texts]
+
+
+def test_bpe_refuses_bytes_that_are_no_tokens():
+    small = bpe.Bpe({bytes([b]): b for b in range(97, 123)} | {b"ab": 300}, r"\S+")
+    assert [x.tolist() for x in small.encode_batch(["abc", ""])] == [[300, 99], []]
+    with pytest.raises(ValueError):
+        list(small.encode_batch(["abc", "A"]))
+
+
 def test_bpe_forgets_and_goes_on(ours, theirs, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBER", 3)
     for t in ("one two three four", "five six one two", "one"):
