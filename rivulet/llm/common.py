@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -18,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`; only where that is unset, one of our own."""
+    """The folder all executors share: `spark.checkpoint.dir`. Where that is unset, a session of one process has one of
+    its own; on a cluster that is an error, since a folder of the driver's machine is none of the executors'."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         jsc = spark.sparkContext._jsc.sc()
@@ -26,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         if found.isDefined():
             base = found.get()
         else:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="rivulet-")
             spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")

@@ -29,6 +29,8 @@ COSINE = 0.9
 RECALL, OCCUPANCY = 0.99, 0.25
 #: Filters of a code that a vector passes, on average; pairs drawn to see how many codes are needed.
 LIST, DRAWN = 5.0, 1_000
+#: Words of a book beyond which a code has more blocks.
+MOST_WORDS = 1 << 15
 #: Vectors of one filter that a task compares at once; a filter with more is dealt into blocks, and pairs of blocks.
 BLOCK = 1_024
 #: Up to this many vectors of a filter are compared together with those of other filters.
@@ -80,9 +82,17 @@ def _tail(a: float, d: int) -> float:
     return float(np.trapezoid(f, t) / np.trapezoid(h, g))
 
 
+def _blocks(d: int, filters: float) -> int:
+    """Blocks of a code: as few as keep its books small, each of four dimensions, or two if books were too large."""
+    m = max(1, min(2 if filters < 1e7 else 3 if filters < 1e10 else 4, d // 4))
+    while filters ** (1 / m) > MOST_WORDS and m < d // 2:
+        m += 1
+    return m
+
+
 def _code(rng: np.random.Generator, alpha: float, filters: float, d: int) -> Code:
     rotation = np.linalg.qr(rng.standard_normal((d, d)))[0]
-    m = max(1, min(2 if filters < 1e7 else 3 if filters < 1e10 else 4, d // 8))
+    m = _blocks(d, filters)
     size = max(2, math.ceil(filters ** (1 / m)))
     edges = tuple(round(k * d / m) for k in range(m + 1))
     books = []
@@ -104,13 +114,16 @@ def decode(codes: tuple[Code, ...], x: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def make_codes(n: int, d: int, cosine: float = COSINE, recall: float = RECALL, occupancy: float = OCCUPANCY, seed: int = SEED) -> tuple[Code, ...]:
     """The codes for n vectors of d dimensions. They are random with a fixed seed, so every task could make the same."""
     rng = np.random.default_rng(seed)
-    if d < 8:  # too few dimensions for caps to tell vectors apart: one filter that all pass
+    if d < 3:  # too few dimensions for caps to tell vectors apart: one filter that all pass
         return (Code(np.eye(d), (np.zeros((1, d)),), (0, d), -1.0),)
     p = min(0.02, occupancy / max(n, 1))
     lo, hi = 0.0, 0.999
     for _ in range(60):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if _tail(mid, d) > p else (lo, mid)
+    # Caps have to be as wide as the angle of a pair: in few dimensions smaller ones would never hold both its ends.
+    lo = min(lo, cosine)
+    p = max(p, _tail(lo, d))
     x = _unit(rng.standard_normal((DRAWN, d)))
     z = rng.standard_normal((DRAWN, d))
     z = _unit(z - (z * x).sum(1, keepdims=True) * x)
@@ -224,27 +237,25 @@ def _shares(f: np.ndarray, g: np.ndarray, below: int) -> bool:
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of (vec_id, embedding); other columns are of no effect.
 
-    Vectors that are null or zero, or hold null or non-finite components, or have another number of components than
-    the most frequent one, link with nothing. Equal vectors are compared once: they link with each other and have the
-    same links to the rest. Rows with null vec_id come back with no links and null component; rows that repeat an id
-    are one vertex, and come back once for each row. An empty table gives an empty result.
+    Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing. Those of different
+    lengths don't link; each length, of which there are few, is searched by itself. Equal vectors are compared once:
+    they link with each other and have the same links to the rest. Rows with null vec_id come back with no links and
+    null component; rows that repeat an id are one vertex, and come back once for each row. An empty table gives an
+    empty result.
     """
     spark = vectors.sparkSession
     v = F.col("embedding")
     fine = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     usable = vectors.where(F.col("vec_id").isNotNull() & fine).select("vec_id", F.transform(v, lambda x: x.cast("double") + F.lit(0.0)).alias("v")).distinct()
-    sizes = usable.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     ids = vectors.select("vec_id")
-    if not sizes:
-        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    d = sizes[0]["d"]
     # Classes of equal vectors, by a digest; the least id stands for all.
-    named = usable.where(F.size("v") == d).select("vec_id", "v", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), " "), 256).alias("h"))
+    named = usable.select("vec_id", "v", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), " "), 256).alias("h"))
     classes = cut(named.groupBy("h").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")), "classes")
     member = named.select("vec_id", "h").join(classes.select("h", "rep", "copies"), "h").select("vec_id", "rep", "copies")
-    n = classes.count()
-    dealt = _dealt(classes.select(F.col("rep").alias("vec_id"), "copies", "v"), n, d, cosine)
-    found = cut(dealt.mapInPandas(lambda parts: _compare(parts, cosine), FOUND), "found")
+    found = spark.createDataFrame([], FOUND)
+    for d, n in classes.groupBy(F.size("v").alias("d")).count().where("count > 1").orderBy("d").collect():
+        dealt = _dealt(classes.where(F.size("v") == d).select(F.col("rep").alias("vec_id"), "copies", "v"), n, d, cosine)
+        found = found.union(cut(dealt.mapInPandas(lambda parts: _compare(parts, cosine), FOUND), "found"))
     degree = found.where("kind = 1").groupBy(F.col("x").alias("rep")).agg(F.sum("y").alias("links"))
     comps = connected_components(found.where("kind = 2").select(F.col("x").alias("src"), F.col("y").alias("dst")))
     per = classes.select("rep", "copies").join(degree, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")

@@ -186,11 +186,39 @@ def test_spherical_decodes_every_filter_that_is_passed():
     assert sorted(zip(row, cell, strict=True)) == sorted(zip(i, c, strict=True))
 
 
+@pytest.mark.parametrize("d", [3, 5, 8, 12])
+def test_spherical_codes_of_few_dimensions(d):
+    codes = spherical.make_codes(1_000_000, d)
+    assert len(codes) < 60 and all(len(book) <= spherical.MOST_WORDS for code in codes for book in code.books)
+    rng = np.random.default_rng(d)
+    x = spherical._unit(rng.normal(size=(300, d)))
+    z = rng.normal(size=(300, d))
+    z = spherical._unit(z - (z * x).sum(1, keepdims=True) * x)
+    y = 0.9 * x + np.sqrt(1 - 0.81) * z
+    (r, c), (s, e) = spherical.decode(codes, x), spherical.decode(codes, y)
+    met = set(zip(r.tolist(), c.tolist(), strict=True)) & set(zip(s.tolist(), e.tolist(), strict=True))
+    assert len({k for k, _ in met}) >= 0.97 * 300
+
+
+def test_spherical_links_just_above_the_threshold(spark):
+    # Pairs with a cosine of 0.9 to 0.95, and others with 0.85 to 0.9: the former are found, none of the latter.
+    rng = np.random.default_rng(12)
+    x = spherical._unit(rng.normal(size=(1500, 48)))
+    z = rng.normal(size=(1500, 48))
+    z = spherical._unit(z - (z * x).sum(1, keepdims=True) * x)
+    cos = np.r_[rng.uniform(0.9001, 0.95, 750), rng.uniform(0.85, 0.8999, 750)][:, None]
+    y = cos * x + np.sqrt(1 - cos * cos) * z
+    rows = [(k, v.tolist(), 0, 1, 1) for k, v in enumerate(np.concatenate([x, y]))]
+    got = {r["vec_id"]: r["n_links"] for r in spherical.near_duplicates(spark.createDataFrame(rows, VECTORS.replace("float", "double"))).collect()}
+    assert sum(got[k] for k in range(750)) >= 0.97 * 750 and all(got[k] <= 1 for k in range(750))
+    assert sum(got[k] + got[k + 1500] for k in range(750, 1500)) == 0
+
+
 def test_spherical_odd_tables(spark):
     assert spherical.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
-    rows = [(1, None, 0, 1, 1), (None, [1.0] * 16, 0, 1, 1), (2, [1.0] * 16, 0, 1, 1), (2, [1.0] * 16, 0, 1, 1), (5, [1.0] * 16, 0, 1, 1), (6, [1.0, 2.0], 0, 1, 1)]
+    rows = [(1, None, 0, 1, 1), (None, [1.0] * 16, 0, 1, 1), (2, [1.0] * 16, 0, 1, 1), (2, [1.0] * 16, 0, 1, 1), (5, [1.0] * 16, 0, 1, 1), (6, [1.0, 2.0], 0, 1, 1), (7, [2.0, 4.0], 0, 1, 1), (8, [1.0] * 5, 0, 1, 1), (9, [1.0] * 4 + [1.1], 0, 1, 1), (10, [3.0], 0, 1, 1)]
     got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in spherical.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()), key=str)
-    assert got == sorted([(1, 0, 1), (None, 0, None), (2, 1, 2), (2, 1, 2), (5, 1, 2), (6, 0, 6)], key=str)
+    assert got == sorted([(1, 0, 1), (None, 0, None), (2, 1, 2), (2, 1, 2), (5, 1, 2), (6, 1, 6), (7, 1, 6), (8, 1, 8), (9, 1, 8), (10, 0, 10)], key=str)
 
 
 # -- exact top-k -------------------------------------------------------------------------------------------------------
