@@ -20,8 +20,9 @@ from rivulet.llm.common import table
 # in from PARTS. Identifiers are of this module.
 PARTS = {
     "{released}": ("released", "licensed", "distributed", "published", "available", "this work is licensed", "this work is released", "this file is licensed", "this software is licensed", "this project is licensed", "this code is licensed"),
-    "{under}": ("under the", "under", "under the terms of the", "under the terms of"),
-    "{gplv}": ("version 3", "version 2", "version 3 or later", "version 2 or later", "v3", "v2", "v3 0", "v2 0"),
+    "{under}": ("under the", "under", "under a", "under an", "under the terms of the", "under the terms of"),
+    "{gplv}": ("version 3", "version 2", "version 2 1", "version 3 or later", "version 2 or later", "version 2 1 or later", "v3", "v2", "v3 0", "v2 0", "v2 1"),
+    "{ccv}": ("4 0", "3 0", "2 5", "2 0", "1 0"),
 }
 SHORT = {
     "MIT-NOTE": "{released} {under} mit license",
@@ -35,16 +36,26 @@ SHORT = {
     "GPL-NOTE": "{released} {under} gnu general public license {gplv}",
     "LGPL-NOTE": "{released} {under} gnu lesser general public license {gplv}",
     "AGPL-NOTE": "{released} {under} gnu affero general public license {gplv}",
-    "CC-BY-NOTE": "{released} {under} cc by 4 0",
-    "CC-BY-SA-NOTE": "{released} {under} cc by sa 4 0",
-    "CC-BY-NC-NOTE": "{released} {under} cc by nc 4 0",
-    "CC-BY-ND-NOTE": "{released} {under} cc by nd 4 0",
-    "CC-BY-NC-SA-NOTE": "{released} {under} cc by nc sa 4 0",
-    "CC-BY-NC-ND-NOTE": "{released} {under} cc by nc nd 4 0",
+    "BSL-NOTE": "{released} {under} boost software license version 1 0",
+    "ZLIB-NOTE": "{released} {under} zlib license",
+    "UNLICENSE-NOTE": "{released} {under} unlicense",
+    "CC-BY-NOTE": "{released} {under} cc by {ccv}",
+    "CC-BY-SA-NOTE": "{released} {under} cc by sa {ccv}",
+    "CC-BY-NC-NOTE": "{released} {under} cc by nc {ccv}",
+    "CC-BY-ND-NOTE": "{released} {under} cc by nd {ccv}",
+    "CC-BY-NC-SA-NOTE": "{released} {under} cc by nc sa {ccv}",
+    "CC-BY-NC-ND-NOTE": "{released} {under} cc by nc nd {ccv}",
     "CC0-NOTE": "{released} {under} cc0 1 0 universal license",
-    "CC-BY-NOTE#2": "{released} {under} creative commons attribution 4 0 international license",
-    "CC-BY-SA-NOTE#2": "{released} {under} creative commons attribution sharealike 4 0 international license",
-    "CC-BY-NC-NOTE#2": "{released} {under} creative commons attribution noncommercial 4 0 international license",
+    "CC-BY-NOTE#2": "{released} {under} creative commons attribution {ccv} international license",
+    "CC-BY-SA-NOTE#2": "{released} {under} creative commons attribution sharealike {ccv} international license",
+    "CC-BY-NC-NOTE#2": "{released} {under} creative commons attribution noncommercial {ccv} international license",
+    "CC-BY-ND-NOTE#2": "{released} {under} creative commons attribution noderivatives {ccv} international license",
+    "CC-BY-NC-SA-NOTE#2": "{released} {under} creative commons attribution noncommercial sharealike {ccv} international license",
+    "CC-BY-NC-ND-NOTE#2": "{released} {under} creative commons attribution noncommercial noderivatives {ccv} international license",
+    "CC-BY-NOTE#3": "{released} {under} creative commons attribution {ccv} license",
+    "CC-BY-SA-NOTE#3": "{released} {under} creative commons attribution sharealike {ccv} license",
+    "CC-BY-NOTE#4": "{released} {under} creative commons attribution {ccv} unported license",
+    "CC-BY-SA-NOTE#4": "{released} {under} creative commons attribution sharealike {ccv} unported license",
 }
 LONG = {
     "MIT-GRANT": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
@@ -56,7 +67,10 @@ LONG = {
     "BSD-BINARY": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "BSD-ENDORSE": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "BSD-ASIS": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "BSD-LIABILITY": "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "BSD-LIABILITY#2": "in no event shall the copyright owner or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
     "ISC-GRANT": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "ISC-ASIS": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
     "APACHE2-LIC": "licensed under the apache license version 2 0 the license",
     "APACHE2-USE": "you may not use this file except in compliance with the license",
     "APACHE2-COPY": "you may obtain a copy of the license at http www apache org licenses license 2 0",
@@ -65,17 +79,32 @@ LONG = {
     "GPL2-FREE": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "GPL-HOPE": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "GPL-SEE": "see the gnu general public license for more details",
+    "LGPL21-FREE": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "LGPL3-FREE": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "LGPL-HOPE": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "LGPL-SEE": "see the gnu lesser general public license for more details",
+    "AGPL3-FREE": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "AGPL-SEE": "see the gnu affero general public license for more details",
+    "EPL2-MATERIALS": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "BSL-GRANT": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "ZLIB-ASIS": "this software is provided as is without any express or implied warranty",
+    "ZLIB-LIABILITY": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "ZLIB-GRANT": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "UNLICENSE-FREE": "this is free and unencumbered software released into the public domain",
+    "UNLICENSE-ANYONE": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
     "MPL2-SUBJECT": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "ALL-RIGHTS": "all rights reserved",
 }
-SPDX = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-3.0-only", "AGPL-3.0-only", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Unlicense")
+SPDX = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0", "BSL-1.0", "Zlib", "Unlicense")
 # Licence rules in order; `*` stands for the version that the sentence names.
 RULES = (
     ("MIT", ("MIT-GRANT", "MIT-KEEP", "MIT-ASIS", "MIT-LIABILITY")),
     ("MIT", ("MIT-GRANT", "MIT-KEEP", "MIT-ASIS")),
     ("MIT", ("MIT-GRANT", "MIT-KEEP")),
+    ("BSD-3-Clause", ("BSD-REDISTRIBUTE", "BSD-SOURCE", "BSD-BINARY", "BSD-ENDORSE", "BSD-ASIS", "BSD-LIABILITY")),
     ("BSD-3-Clause", ("BSD-REDISTRIBUTE", "BSD-SOURCE", "BSD-BINARY", "BSD-ENDORSE", "BSD-ASIS")),
     ("BSD-3-Clause", ("BSD-REDISTRIBUTE", "BSD-SOURCE", "BSD-BINARY", "BSD-ENDORSE")),
+    ("BSD-2-Clause", ("BSD-REDISTRIBUTE", "BSD-SOURCE", "BSD-BINARY", "BSD-ASIS", "BSD-LIABILITY")),
     ("BSD-2-Clause", ("BSD-REDISTRIBUTE", "BSD-SOURCE", "BSD-BINARY", "BSD-ASIS")),
     ("BSD-2-Clause", ("BSD-REDISTRIBUTE", "BSD-SOURCE", "BSD-BINARY")),
     ("Apache-2.0", ("APACHE2-LIC", "APACHE2-USE", "APACHE2-COPY", "APACHE2-ASIS")),
@@ -85,7 +114,20 @@ RULES = (
     ("GPL-3.0-or-later", ("GPL-FREE",)),
     ("GPL-2.0-or-later", ("GPL2-FREE", "GPL-HOPE", "GPL-SEE")),
     ("GPL-2.0-or-later", ("GPL2-FREE",)),
+    ("LGPL-2.1-or-later", ("LGPL21-FREE", "LGPL-HOPE", "LGPL-SEE")),
+    ("LGPL-2.1-or-later", ("LGPL21-FREE",)),
+    ("LGPL-3.0-or-later", ("LGPL3-FREE", "LGPL-HOPE", "LGPL-SEE")),
+    ("LGPL-3.0-or-later", ("LGPL3-FREE",)),
+    ("AGPL-3.0-or-later", ("AGPL3-FREE", "GPL-HOPE", "AGPL-SEE")),
+    ("AGPL-3.0-or-later", ("AGPL3-FREE",)),
+    ("ISC", ("ISC-GRANT", "ISC-ASIS")),
     ("ISC", ("ISC-GRANT",)),
+    ("BSL-1.0", ("BSL-GRANT",)),
+    ("Zlib", ("ZLIB-ASIS", "ZLIB-LIABILITY", "ZLIB-GRANT")),
+    ("Zlib", ("ZLIB-GRANT",)),
+    ("Unlicense", ("UNLICENSE-FREE", "UNLICENSE-ANYONE")),
+    ("Unlicense", ("UNLICENSE-FREE",)),
+    ("EPL-2.0", ("EPL2-MATERIALS",)),
     ("MPL-2.0", ("MPL2-SUBJECT",)),
     ("MIT", ("MIT-NOTE",)),
     ("BSD-2-Clause", ("BSD2-NOTE",)),
@@ -95,14 +137,17 @@ RULES = (
     ("Apache-2.0", ("APACHE2-NOTE",)),
     ("MPL-2.0", ("MPL2-NOTE",)),
     ("EPL-2.0", ("EPL2-NOTE",)),
-    *((f"{x}-{v}.0-{w}", (f"{x}-NOTE:{v}{'+' if w == 'or-later' else ''}",)) for x in ("GPL", "LGPL", "AGPL") for v in "32" for w in ("only", "or-later")),
-    *((f"{x}-4.0", (f"{x}-NOTE",)) for x in ("CC-BY", "CC-BY-SA", "CC-BY-NC", "CC-BY-ND", "CC-BY-NC-SA", "CC-BY-NC-ND")),
+    ("BSL-1.0", ("BSL-NOTE",)),
+    ("Zlib", ("ZLIB-NOTE",)),
+    ("Unlicense", ("UNLICENSE-NOTE",)),
+    *((f"{x}-{v}-{w}", (f"{x}-NOTE:{v}{'+' if w == 'or-later' else ''}",)) for x in ("GPL", "LGPL", "AGPL") for v in ("3.0", "2.0", "2.1") for w in ("only", "or-later")),
+    *((f"{x}-{v}", (f"{x}-NOTE:{v}",)) for v in ("4.0", "3.0", "2.5", "2.0", "1.0") for x in ("CC-BY", "CC-BY-SA", "CC-BY-NC", "CC-BY-ND", "CC-BY-NC-SA", "CC-BY-NC-ND")),
     ("CC0-1.0", ("CC0-NOTE",)),
     *((x, (f"SPDX:{x}",)) for x in SPDX),
     ("Proprietary", ("ALL-RIGHTS",)),
 )
 #: Every known sentence has one of these, so a text or sentence without them needs no look.
-ANCHOR = re.compile(r"licen[cs]e|permi|copyright|warrant|redistribut|liab|as is|rights|under|subject|spdx", re.IGNORECASE)
+ANCHOR = re.compile(r"licen[cs]e|permi|copyright|warrant|redistribut|liab|as is|rights|under|subject|spdx|unencumbered|anyone is free", re.IGNORECASE)
 _CUT = re.compile(r"[.;:!?]+(?=[\s\"')]|$)|\n[ \t]*\n")
 _ODD = re.compile(r"[^0-9a-z]+")
 
@@ -122,15 +167,18 @@ def sentences_known() -> dict[str, str]:
         for x in ready:
             kind = name.partition("#")[0]
             if "{gplv}" in form:
-                kind += ":" + ("3" if re.search(r"(version |v)3", x) else "2") + ("+" if x.endswith("or later") else "")
+                major, minor = re.search(r"(?:version |v)(\d)(?: (\d))?", x).groups()
+                kind += f":{major}.{minor or 0}" + ("+" if x.endswith("or later") else "")
+            if "{ccv}" in form:
+                kind += ":" + re.search(r"\d \d", x)[0].replace(" ", ".")
             out[x] = kind
-    out |= {v: k for k, v in LONG.items()}
+    out |= {v: k.partition("#")[0] for k, v in LONG.items()}
     return out | {normal(f"SPDX-License-Identifier {x}"): f"SPDX:{x}" for x in SPDX}
 
 
 KNOWN = sentences_known()
 #: Known sentences that may have marks or empty lines within, as notices are published with; the short ones may not.
-WHOLE = {v: k for k, v in LONG.items()}
+WHOLE = {v: k.partition("#")[0] for k, v in LONG.items()}
 
 
 def beginnings() -> dict[str, list[str]]:

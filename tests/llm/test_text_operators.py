@@ -121,9 +121,102 @@ def test_license_published_notices(prefix):
         assert all(license.normal(text[p:]).startswith(next(x for x, k in license.KNOWN.items() if k == i)) for i, p in found)
 
 
+BSD3 = """Copyright (c) 2021, Somebody. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this
+  list of conditions and the following disclaimer.
+
+* Redistributions in binary form must reproduce the above copyright notice,
+  this list of conditions and the following disclaimer in the documentation
+  and/or other materials provided with the distribution.
+
+* Neither the name of the copyright holder nor the names of its
+  contributors may be used to endorse or promote products derived from
+  this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+"""
+LGPL = GPL3.replace("program", "library").replace("General Public", "Lesser General Public").replace("version 3", "version 2.1")
+AGPL = GPL3.replace("General Public", "Affero General Public")
+
+
+def test_license_more_published_notices():
+    for text, ids, licences in (
+        (BSD3, ["BSD-REDISTRIBUTE", "BSD-SOURCE", "BSD-BINARY", "BSD-ENDORSE", "BSD-ASIS", "BSD-LIABILITY"], ["BSD-3-Clause"]),
+        (ZLIB, ["ZLIB-ASIS", "ZLIB-LIABILITY", "ZLIB-GRANT"], ["Zlib"]),
+        (UNLICENSE, ["UNLICENSE-FREE", "UNLICENSE-ANYONE"], ["Unlicense"]),
+        (LGPL, ["LGPL21-FREE", "LGPL-HOPE", "LGPL-SEE"], ["LGPL-2.1-or-later"]),
+        (AGPL, ["AGPL3-FREE", "GPL-HOPE", "AGPL-SEE"], ["AGPL-3.0-or-later"]),
+        ("Licensed under the GNU Lesser General Public License v2.1", ["LGPL-NOTE:2.1"], ["LGPL-2.1-only"]),
+        ("Released under CC BY-SA 3.0.", ["CC-BY-SA-NOTE:3.0"], ["CC-BY-SA-3.0"]),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", ["CC-BY-NOTE:4.0"], ["CC-BY-4.0"]),
+        ("This work is licensed under the Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", ["CC-BY-NC-ND-NOTE:4.0"], ["CC-BY-NC-ND-4.0"]),
+    ):
+        found = [k for k, _ in license.sentence_ids(text) if k != "ALL-RIGHTS"]
+        assert found == ids and license.match_rules(ids) == (licences, 0)
+
+
+def by_every_stretch(text):
+    """Identifiers by trying, from each place a sentence can begin, every place it can end; the longest wins."""
+    begins = [0, *(m.end() for m in re.finditer(r"\n|[.;:!?](?=[\s\"')])", text))]
+    ends = [(m.start(), m["cut"] is not None) for m in license._END.finditer(text)]
+    out, done = [], 0
+    for b in begins:
+        word = re.compile(r"[0-9A-Za-z]").search(text, b)
+        if word is None or word.start() < done:
+            continue
+        best, cuts = None, 0
+        for e, is_cut in ends:
+            if e < word.start():
+                continue
+            if (k := (license.WHOLE if cuts else license.KNOWN).get(license.normal(text[word.start() : e]))) is not None:
+                best = (k, e)
+            cuts += is_cut
+        if best:
+            out.append(best[0])
+            done = best[1]
+    return out
+
+
+def test_license_sentences_match_brute_force():
+    rng = np.random.default_rng(8)
+    known = [x for x in license.KNOWN if not x.startswith("spdx")]
+    parts = [" ".join(x.split()[:k]) for x in known for k in (len(x.split()), len(x.split()), 3)] + ["some words", "or later", "version 2", "all rights"]
+    for _ in range(120):
+        text = "".join(str(rng.choice(parts)) + str(rng.choice([". ", "\n", ";\n", ".\n\n", ", ", " ", ": "])) for _ in range(6))
+        assert [k for k, _ in license.sentence_ids(text)] == by_every_stretch(text)
+
+
 def test_license_short_sentences_end_at_marks():
     assert license.sentence_ids("Released under the MIT. License") == []
-    assert license.sentence_ids("Released under the GNU General Public License, version 2. Or later.")[0][0] == "GPL-NOTE:2"
+    assert license.sentence_ids("Released under the GNU General Public License, version 2. Or later.")[0][0] == "GPL-NOTE:2.0"
 
 
 def test_license_unmarked_lines_before_other_text():
@@ -131,7 +224,7 @@ def test_license_unmarked_lines_before_other_text():
         ("Released under the MIT License\nSee docs for more.", ["MIT-NOTE"]),
         ("All rights reserved\nNext line", ["ALL-RIGHTS"]),
         ("Tool\nReleased under the\nMIT License\nAll rights reserved\nThe end", ["MIT-NOTE", "ALL-RIGHTS"]),
-        ("Licensed under the GNU General Public License, version 2\nor later\nand so on", ["GPL-NOTE:2+"]),
+        ("Licensed under the GNU General Public License, version 2\nor later\nand so on", ["GPL-NOTE:2.0+"]),
         ("Not all rights reserved\nfor all", []),
         ("".join("# " + x for x in APACHE2.splitlines(keepends=True)), ["APACHE2-LIC", "APACHE2-USE", "APACHE2-COPY", "APACHE2-ASIS"]),
         ("All rights reserved\n" * 3000, ["ALL-RIGHTS"] * 3000),
