@@ -313,7 +313,7 @@ def _node(digest: bytes) -> int:
 
 
 def _sets_and_counts(words: int):
-    """Rows (doc_id, n, digest of the set), then the task's part of the sketch in rows (n: row of it, digest: counts)."""
+    """Rows (doc_id, th, n, digest of the set), then the task's part of the sketch in rows (n: row of it, digest: counts)."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(1 << CELL_BITS, np.uint16)
@@ -326,10 +326,10 @@ def _sets_and_counts(words: int):
                 at = _cell(s)
                 counts[at] += counts[at] < 65_535  # a cell that a set meets twice counts once
             any_ = any_ or any(n for n, _ in rows)
-            yield pd.DataFrame({"row": False, "doc_id": pdf["doc_id"].astype("Int64"), "n": [n for n, _ in rows], "key": [k for _, k in rows], "node": [_node(k) for _, k in rows]})
+            yield pd.DataFrame({"row": False, "doc_id": pdf["doc_id"].astype("Int64"), "th": pdf["th"], "n": [n for n, _ in rows], "key": [k for _, k in rows], "node": [_node(k) for _, k in rows]})
         if any_:
             for k in range(0, 1 << CELL_BITS, CELLS_IN_ROW):
-                yield pd.DataFrame({"row": [True], "doc_id": pd.array([None], "Int64"), "n": [k // CELLS_IN_ROW], "key": [zlib.compress(counts[k : k + CELLS_IN_ROW].tobytes(), 1)], "node": [0]})
+                yield pd.DataFrame({"row": [True], "doc_id": pd.array([None], "Int64"), "th": [0], "n": [k // CELLS_IN_ROW], "key": [zlib.compress(counts[k : k + CELLS_IN_ROW].tobytes(), 1)], "node": [0]})
 
     return run
 
@@ -543,10 +543,10 @@ def _is_large(most: int):
 
 
 def classes_and_links(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, group_shingles: int = GROUP_SHINGLES, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sets, classes, links): rows (doc_id, n, key); classes (key, rep, n, node), rep the least id; links (src, dst) of reps
+    """(sets, classes, links): rows (doc_id, th, n, key), th a hash of the text; classes (key, rep, n, node), rep the least id; links (src, dst) of reps
     that connect all that are connected."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    both = cut(texts.mapInPandas(_forgetting(_sets_and_counts(words)), "row boolean, doc_id long, n long, key binary, node long"), "sets")
+    both = cut(texts.withColumn("th", F.xxhash64("text")).mapInPandas(_forgetting(_sets_and_counts(words)), "row boolean, doc_id long, th long, n long, key binary, node long"), "sets")
     sets = both.where(~F.col("row")).drop("row")
     classes = cut(sets.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("node").alias("node")), "classes")
     spark = docs.sparkSession
@@ -599,9 +599,26 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
-    """The rows of `docs` of which each is the least id of its component; rows with null or repeated id stay as they are."""
-    rest = near_duplicates(docs, words, similarity).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(cut(rest, "dropped"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component of texts: that with its least id. Of rows that repeat an id and a set, one stays.
+
+    Texts decide, not ids: where an id is repeated, each of its texts counts by itself. Rows with null id, and those
+    without shingles (null, empty and blank texts), stay as they are. An empty table stays empty.
+    """
+    sets, classes, links = classes_and_links(docs, words, similarity)
+    comps = connected_components(links)
+    named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
+    mine = cut(sets.where("n > 0 and doc_id is not null").join(named, "key").select("doc_id", "th", "key", "component"), "by-text")
+    twice = cut(mine.where("doc_id = component").groupBy("doc_id", "key").agg(F.count("*").alias("c"), F.min("th").alias("one")).where("c > 1"), "twice")
+    other = mine.join(twice.select("doc_id", "key", "one"), ["doc_id", "key"]).where("th <> one").select("doc_id", "th")
+    gone = cut(mine.where("doc_id <> component").select("doc_id", "th").union(other).distinct().select(F.col("doc_id").alias("__id"), F.col("th").alias("__gone")), "dropped")
+    text = F.xxhash64("text")
+    kept = docs.join(gone, (docs["doc_id"] == gone["__id"]) & (text == gone["__gone"]), "left_anti")
+    if twice.isEmpty():
+        return kept.select(*docs.columns)
+    again = twice.select(F.col("doc_id").alias("__id"), F.col("one").alias("__gone"))
+    same = (kept["doc_id"] == again["__id"]) & (text == again["__gone"])
+    single = kept.join(again, same, "left_semi").withColumn("__th", text).dropDuplicates(["doc_id", "__th"])
+    return kept.join(again, same, "left_anti").select(*docs.columns).unionByName(single.select(*docs.columns))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

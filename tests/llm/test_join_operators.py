@@ -139,6 +139,13 @@ def test_jaccard_odd_rows(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([(1, None)], schema)).first()["component_id"] == 1
 
 
+def test_jaccard_one_of_each_by_text(spark):
+    a, b = "a b c d e f g", "q r s t u v w"
+    rows = [(3, a, 1), (7, a, 2), (7, b, 3), (7, b, 4), (7, b.upper(), 5), (8, None, 6), (8, None, 7), (None, a, 8), (9, "", 9)]
+    got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, th int")).collect()
+    assert sorted((str(r["doc_id"]), (r["text"] or "").lower()) for r in got) == sorted([("3", a), ("7", b), ("8", ""), ("8", ""), ("None", a), ("9", "")])
+
+
 # -- spherical caps ----------------------------------------------------------------------------------------------------
 VECTORS = "vec_id long, embedding array<float>, label int, cell long, n_links int"
 

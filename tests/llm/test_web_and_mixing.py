@@ -362,3 +362,91 @@ def test_pipeline_stages(spark, tmp_path):
 
     back = bpe.decode(tokens, P.path(bpe.VOCABULARY), P.PATTERN).select(F.decode("decoded", "utf-8").alias("text"))
     assert sorted(r["text"] for r in back.collect()) == sorted(r["text"] for r in seen["mix_sources"].collect())
+
+
+ODD_DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, ids string, key string, __found int, size int"
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+    from rivulet.llm import quality
+
+    good = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("quality = 1"), "doc_id").orderBy("doc_id").select("text").limit(3).collect()
+    a, b, c = (r["text"] for r in good)
+    texts = [(1, a), (1, a), (2, a), (2, b), (None, a), (3, None), (4, ""), (5, " \n "), (6, c + " jo.doe@mail.org " + c), (7, "word " * 60_000), (8, "x" * 200_000), (9, b)]
+    rows = [(k, t, None if k == 9 else "en", None if k in (2, 9) else "s", 1, 1.0, "i", "k", 1, 2) for k, t in texts]
+    sf = str(tmp_path)
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    docs = spark.createDataFrame(rows, ODD_DOCS)
+    for name, table in (("documents", docs), ("labels", labels.limit(0))):
+        table.write.parquet(f"{sf}/{name}.parquet")
+    seen = docs
+    for name, stage in corpus_pipeline.STAGES:
+        was, seen = seen, cut(stage(spark, seen, sf), name)
+        if name != "byte_bpe":
+            assert seen.columns == docs.columns
+        else:
+            assert seen.columns == ["doc_id", "lang", "source", "n_tokens", "ids"]
+        if name == "quality_classifier":
+            # Without labels all documents have the same score.
+            assert seen.count() in (0, len(rows))
+            seen = docs
+        if name == "ngram_jaccard_join":
+            got = sorted((str(r["doc_id"]), len(r["text"] or "")) for r in seen.collect())
+            assert got == sorted([("1", len(a)), ("2", len(b)), ("None", len(a)), ("3", 0), ("4", 0), ("5", 3), ("6", len(rows[8][1])), ("7", 300_000), ("8", 200_000)])
+        if name == "pii":
+            assert seen.count() == was.count() and seen.where("text like '%jo.doe@mail.org%'").count() == 0
+            assert {r["doc_id"] for r in seen.where("text is null").collect()} == {3}
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, sf)
+    assert empty.count() == 0
+    assert quality.good(docs, labels).columns == docs.columns
+
+
+def test_pipeline_matches_its_stages_by_brute_force(spark):
+    """`run` on the smallest table: near-duplicates, the words of the mix and the tokens, recounted from the stages' inputs."""
+    import corpus_pipeline
+    import public_tokenizers as P
+    import tiktoken
+
+    from rivulet.llm import bpe, pii, quality
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = quality.good(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()
+    sets = []
+    for r in kept:
+        w = r["text"].translate({k: k + 32 for k in range(65, 91)}).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        w = [x for x in w if x]
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    by_shingle = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            by_shingle.setdefault(x, []).append(k)
+    root = list(range(len(sets)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for k, s in enumerate(sets):
+        for j in {j for x in s for j in by_shingle[x] if j < k}:
+            if 100 * len(s & sets[j]) >= 75 * len(s | sets[j]):
+                root[top(k)] = top(j)
+    least = {}
+    for k, r in enumerate(kept):
+        least[top(k)] = min(least.get(top(k), r["doc_id"]), r["doc_id"])
+    ids = {r["doc_id"] for k, r in enumerate(kept) if r["doc_id"] == least[top(k)]}
+    clean = pii.pseudonymised(docs.where(F.col("doc_id").isin(sorted(ids))), pii.key_of(spark)).select(*docs.columns)
+    clean = cut(clean, "clean")
+    want = {r["doc_id"]: r["taken"] for r in mixing.mix(clean)[0].collect()}
+    assert want.keys() == ids
+    enc = tiktoken.Encoding("x", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path(bpe.VOCABULARY)), special_tokens={})
+    got, n = corpus_pipeline.run(spark, sf).collect(), {}
+    for r in got:
+        text = enc.decode(r["ids"])
+        assert enc.encode_ordinary(text) == r["ids"] and r["n_tokens"] == len(r["ids"])
+        n[r["doc_id"]] = n.get(r["doc_id"], 0) + len([w for w in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if w])
+    assert n == {k: v for k, v in want.items() if v}
