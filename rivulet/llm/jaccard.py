@@ -49,7 +49,8 @@ LEADERS = 4
 SPARE = 10
 #: Prefix shingles that a task compares at once, about; each document's fall into at least LEAST_BUCKETS parts.
 BUCKET_SHINGLES, LEAST_BUCKETS = 1_000_000, 64
-#: Candidate documents, of three numbers each, that are sent to all executors; more are joined by a shuffle.
+#: Candidate documents, and those to drop, of a few numbers each, that are sent to all executors; more are joined by a
+#: shuffle.
 BROADCAST_ROWS = 500_000
 #: The cost factor of DivideSkip by which lists are split into long and short.
 MU = 0.0085
@@ -612,7 +613,9 @@ def one_of_each(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARIT
     other = mine.join(twice.select("doc_id", "key", "one"), ["doc_id", "key"]).where("th <> one").select("doc_id", "th")
     gone = cut(mine.where("doc_id <> component").select("doc_id", "th").union(other).distinct().select(F.col("doc_id").alias("__id"), F.col("th").alias("__gone")), "dropped")
     text = F.xxhash64("text")
-    kept = docs.join(gone, (docs["doc_id"] == gone["__id"]) & (text == gone["__gone"]), "left_anti")
+    # Sent to the executors while they are few, so that texts aren't moved for them; beyond that a shuffle.
+    small = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    kept = docs.join(F.broadcast(gone) if small else gone, (docs["doc_id"] == gone["__id"]) & (text == gone["__gone"]), "left_anti")
     if twice.isEmpty():
         return kept.select(*docs.columns)
     again = twice.select(F.col("doc_id").alias("__id"), F.col("one").alias("__gone"))
