@@ -1,13 +1,16 @@
 """Flow managers: where the first packets of flows wait until there are k of them.
 
 Unbounded, it is a window. Bounded, order matters: a bucket of the table is a small state machine, and buckets are
-independent, so each is replayed by itself; a bucket is a key of the shuffle and holds few flows at a time.
+independent, so each is replayed by itself. Only the first k packets of a flow can matter to a manager, so the others
+go before the shuffle by bucket; buckets are then read in order, a batch at a time.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import chain, groupby, islice
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -68,16 +71,26 @@ def fifo_bucket(rows: Iterator[tuple], slots: int, k: int, remove_at_k: bool = T
             yield f, "resident", e[1], e[2], e[0]
 
 
-def evict_oldest(packets: DataFrame, rows: int, slots: int, k: int, remove_at_k: bool = True) -> DataFrame:
-    """Rows of OUTCOME, one for each flow; with remove_at_k off flows that were collected have just that row."""
-    p = keyed(packets).select("flow_id", "seq", "ts_us").withColumn("bucket", bucket("flow_id", rows, "fm"))
+def _replayed(p: DataFrame, rows: int, slots: int, k: int, remove_at_k: bool) -> DataFrame:
+    """Rows of OUTCOME from (flow_id, seq, ts_us): the first k packets of each flow, through its bucket."""
+    from pyspark.sql import Window
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        out = fifo_bucket(zip(pdf["flow_id"], pdf["seq"], pdf["ts_us"], strict=True), slots, k, remove_at_k)
-        return pd.DataFrame(list(out), columns=["flow_id", "outcome", "seq", "ts_us", "n_pkts"])
+    nth = F.row_number().over(Window.partitionBy("flow_id").orderBy("seq"))
+    first = p.select("flow_id", "seq", "ts_us", nth.alias("rn")).where(F.col("rn") <= k)
+    dealt = first.select(bucket("flow_id", rows, "fm").alias("bucket"), "flow_id", "seq", "ts_us").repartition("bucket").sortWithinPartitions("bucket", "seq")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        arrivals = chain.from_iterable(pdf[["bucket", "flow_id", "seq", "ts_us"]].itertuples(index=False, name=None) for pdf in batches)
+        out = chain.from_iterable(fifo_bucket((r[1:] for r in some), slots, k, remove_at_k) for _, some in groupby(arrivals, key=itemgetter(0)))
+        while part := list(islice(out, 10_000)):
+            yield pd.DataFrame(part, columns=["flow_id", "outcome", "seq", "ts_us", "n_pkts"])
+
+    return dealt.mapInPandas(run, OUTCOME)
 
-    return p.groupBy("bucket").applyInPandas(run, OUTCOME)
+
+def evict_oldest(packets: DataFrame, rows: int, slots: int, k: int, remove_at_k: bool = True) -> DataFrame:
+    """Rows of OUTCOME, one for each flow; with remove_at_k off flows that were collected have just that row."""
+    return _replayed(keyed(packets), rows, slots, k, remove_at_k)
 
 
 def evict_timeout(packets: DataFrame, rows: int, slots: int, k: int, timeout_us: int | None = None) -> DataFrame:
@@ -91,14 +104,7 @@ def evict_timeout(packets: DataFrame, rows: int, slots: int, k: int, timeout_us:
     late = (F.col("gap_us") > timeout_us).cast("int")
     turn = F.sum(F.coalesce(late, F.lit(0))).over(Window.partitionBy("flow_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
     p = p.withColumn("turn", turn).withColumn("flow_id", F.when(F.col("turn") > 0, F.concat("flow_id", F.lit("+"), F.col("turn"))).otherwise(F.col("flow_id")))
-    b = p.select("flow_id", "seq", "ts_us").withColumn("bucket", bucket("flow_id", rows, "fm"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        out = fifo_bucket(zip(pdf["flow_id"], pdf["seq"], pdf["ts_us"], strict=True), slots, k, False)
-        return pd.DataFrame(list(out), columns=["flow_id", "outcome", "seq", "ts_us", "n_pkts"])
-
-    return b.groupBy("bucket").applyInPandas(run, OUTCOME)
+    return _replayed(p, rows, slots, k, False)
 
 
 def layer_rows(proportions: list[float], total: int, k: int) -> list[int]:

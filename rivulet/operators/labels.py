@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,10 +21,18 @@ def label_elephants(sizes: DataFrame, p: float, by: list[str] | None = None, at_
     return out.where(F.col("size") >= at_least).withColumn("heavy", (F.col("size") > F.col("cutoff")).cast("int"))
 
 
-def floor_rank(values: Column, q: float) -> Column:
-    """The value at rank floor(q * (n - 1)) of the sorted values of a group."""
-    sorted_ = F.array_sort(F.collect_list(values))
-    return F.element_at(sorted_, (F.floor(F.lit(q) * (F.size(sorted_) - 1)) + 1).cast("int"))
+def floor_rank(rows: DataFrame, by: list[str], value: str, qs: list[float], out: str = "value") -> DataFrame:
+    """(*by, q, out): the value at rank floor(q * (n - 1)) of the sorted values of each group.
+
+    Equal values are counted first and ranks found by running sums, so no group is gathered into a row.
+    """
+    n = rows.groupBy(*by, value).agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(*by)
+    run = F.sum("__n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    at = n.select(*by, value, run.alias("__run"), F.sum("__n").over(w).alias("__all"))
+    ranked = at.groupBy(*by).agg(*(F.min(F.when(F.col("__run") > F.floor(F.lit(q) * (F.col("__all") - 1)), F.col(value))).alias(f"__{k}") for k, q in enumerate(qs)))
+    found = F.explode(F.array(*(F.struct(F.lit(q).alias("q"), F.col(f"__{k}").alias(out)) for k, q in enumerate(qs)))).alias("__x")
+    return ranked.select(*by, found).select(*by, "__x.q", f"__x.{out}")
 
 
 def size_cdf(sizes: DataFrame) -> DataFrame:

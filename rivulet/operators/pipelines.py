@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.functions.keys import flow_id
-from rivulet.operators import sketches
+from rivulet.operators import labels, sketches
 from rivulet.operators.flows import ordered
 
 
@@ -64,10 +64,8 @@ def gaps(packets: DataFrame) -> DataFrame:
 
 def exact_quantiles(values: DataFrame, flows: DataFrame, qs: list[float]) -> DataFrame:
     """(flow_id, q, value): floor-rank quantiles of each flow's gaps; 0 for flows without any."""
-    s = values.groupBy("flow_id").agg(F.array_sort(F.collect_list("x")).alias("a"))
-    got = flows.select("flow_id").join(s, "flow_id", "left").select("*", F.explode(F.array(*(F.lit(q) for q in qs))).alias("q"))
-    at = (F.floor(F.col("q") * (F.size("a") - 1)) + 1).cast("int")
-    return got.select("flow_id", "q", F.when(F.col("a").isNull(), 0.0).otherwise(F.element_at("a", at)).alias("value"))
+    every = flows.select("flow_id", F.explode(F.array(*(F.lit(q) for q in qs))).alias("q"))
+    return every.join(labels.floor_rank(values, ["flow_id"], "x", qs), ["flow_id", "q"], "left").select("flow_id", "q", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def admitted_elephants(collected: DataFrame, max_heavy: int) -> DataFrame:

@@ -112,6 +112,8 @@ class LogBins:
             if up is not None and more != up:
                 step /= 2
             gamma, up = gamma * (1 + step if more else 1 - step), more
+        else:
+            raise ValueError(f"no gamma found that gives {n} bins from {least} to {most}")
         self.gamma, self.low, self.high, self.least = gamma, self._key(least, gamma), self._key(most, gamma), least
 
     @staticmethod

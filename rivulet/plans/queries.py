@@ -309,8 +309,8 @@ def per_day_cutoff(spark, d):
 
 @query(f"SELECT flow_id, q, round(list_sort(list(gap_us))[CAST(floor(q * (count(*) - 1)) AS INTEGER) + 1] / 1e6, 6) AS iat FROM ordered, {QSQL} WHERE gap_us IS NOT NULL GROUP BY flow_id, q")
 def iat_floor_quantiles(spark, d):
-    g = flows.ordered(packets(spark, d)).where("gap_us IS NOT NULL").groupBy(*KEY).agg(*(labels.floor_rank(F.col("gap_us"), q).alias(f"q{k}") for k, q in enumerate(QS)))
-    return g.select(fk(), F.explode(F.array(*(F.struct(F.lit(q).alias("q"), F.round(F.col(f"q{k}") / 1e6, 6).alias("iat")) for k, q in enumerate(QS)))).alias("x")).select("flow_id", "x.q", "x.iat")
+    g = labels.floor_rank(flows.ordered(packets(spark, d)).where("gap_us IS NOT NULL"), list(KEY), "gap_us", QS)
+    return g.select(fk(), "q", F.round(F.col("value") / 1e6, 6).alias("iat"))
 
 
 @query("SELECT size, CAST(n AS BIGINT) AS n_flows, round(sum(n) OVER (ORDER BY size) / sum(n) OVER (), 6) AS cdf FROM (SELECT size, count(*) AS n FROM sizes GROUP BY size)")

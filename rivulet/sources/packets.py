@@ -112,20 +112,47 @@ class CaptureReader(DataSourceReader):
         self.path, self.protocols = options["path"], options.get("protocols", "tcp_udp")
 
     def partitions(self) -> list[InputPartition]:
-        import glob
-        import os
+        """A partition for each file below the path, in order of their names; the path may have * and ? in its last part."""
+        from fnmatch import fnmatch
 
-        return [InputPartition(f) for f in sorted(glob.glob(self.path) if not os.path.isdir(self.path) else glob.glob(f"{self.path}/*"))]
+        from pyarrow import fs
+
+        store, path = _store(self.path)
+        top, _, last = path.rpartition("/")
+        if any(c in last for c in "*?["):
+            found = [f.path for f in store.get_file_info(fs.FileSelector(top or ".")) if f.type == fs.FileType.File and fnmatch(f.base_name, last)]
+        elif store.get_file_info(path).type == fs.FileType.Directory:
+            found = [f.path for f in store.get_file_info(fs.FileSelector(path)) if f.type == fs.FileType.File]
+        else:
+            found = [path]
+        return [InputPartition((k, f)) for k, f in enumerate(sorted(found))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, "rb") as f:
+        at, file = partition.value
+        with _store(self.path)[0].open_input_file(file) as f:
             data = f.read()
         for row in decode_capture(data, self.protocols == "tcp", self.protocols == "all"):
-            yield (*row, partition.value)
+            yield (at << FILE_BITS | row[0], *row[1:], file)
+
+
+#: A packet's seq is its file's place in the order of names, then its place in the file, of so many bits.
+FILE_BITS = 40
+
+
+def _store(path: str):
+    """File system and path in it, in any store that pyarrow opens."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
 def captures(spark: SparkSession, path: str, tcp_only: bool = False, keep_icmp: bool = False) -> DataFrame:
-    """Packets of capture files in any store that Spark reads: a file is a row of `binaryFile`, decoded in place."""
+    """Packets of capture files in any store that Spark reads: a file is a row of `binaryFile`, decoded in place.
+
+    Files follow each other by name, so flows that go on in the next file keep their order.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    place = {f: k for k, f in enumerate(sorted(r["path"] for r in files.select("path").collect()))}  # names alone
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in PACKET.split(", ")]
@@ -133,9 +160,10 @@ def captures(spark: SparkSession, path: str, tcp_only: bool = False, keep_icmp:
             for file, content in zip(pdf["path"], pdf["content"], strict=True):
                 out = pd.DataFrame(decode_capture(content, tcp_only, keep_icmp), columns=names)
                 out["flags"] = out["flags"].astype("Int32")
+                out["seq"] = out["seq"].astype("int64") + (place[file] << FILE_BITS)
                 yield out.assign(file=file)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, PACKET + ", file string")
+    return files.select("path", "content").mapInPandas(run, PACKET + ", file string")
 
 
 #: Bytes of a key record: addresses, ports and protocol, high byte first.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -94,8 +95,13 @@ def bounded_manager(packets: DataFrame, rows: int, slots: int, k: int) -> DataFr
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A fresh path in the folder that all executors share: spark.checkpoint.dir, or where unset one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rivulet-")
+    """A fresh path in the folder that all executors share: spark.checkpoint.dir. Where that is unset, a session of one
+    process has one of its own; on a cluster that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="rivulet-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

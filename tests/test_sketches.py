@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -88,7 +89,7 @@ def test_labels_are_strict_and_ranks_floor(spark):
     s = counts(spark, [(f"f{k}", 10) for k in range(5)])
     assert labels.label_elephants(s, 99).where("heavy = 1").count() == 0
     seven = spark.createDataFrame([(k,) for k in range(1, 8)], "x int")
-    assert seven.groupBy().agg(labels.floor_rank(F.col("x"), 0.9).alias("v")).first()["v"] == 6
+    assert labels.floor_rank(seven, [], "x", [0.9]).first()["value"] == 6
 
 
 def test_sizes_from_budget():
@@ -119,3 +120,18 @@ def test_samples_and_buffers(spark):
     (_, low), (_, high) = models.calibrate_alpha(labelled, [0.05, 3.0])
     assert low > high
     assert models.key_number("1.2.3.4,5.6.7.8,1,2,6") == (0x01020304 << 72) | (0x05060708 << 40) | (1 << 24) | (2 << 8) | 6
+
+
+def test_floor_rank_matches_brute_force(spark):
+    rng = random.Random(3)
+    groups = {g: [rng.randrange(12) for _ in range(rng.randrange(1, 40))] for g in "abcde"}
+    df = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs], "g string, x long")
+    qs = [0.0, 0.5, 0.9, 0.99, 1.0]
+    got = {(r["g"], r["q"]): r["value"] for r in labels.floor_rank(df, ["g"], "x", qs).collect()}
+    assert got == {(g, q): sorted(xs)[int(q * (len(xs) - 1))] for g, xs in groups.items() for q in qs}
+    assert labels.floor_rank(df.limit(0), ["g"], "x", qs).count() == 0
+
+
+def test_log_bins_without_a_gamma_are_refused():
+    with pytest.raises(ValueError):
+        sketches.LogBins(1.0000001, 1.0, 1 << 20)

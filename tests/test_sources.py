@@ -52,6 +52,18 @@ def test_capture_readers_agree(spark, tmp_path):
     assert P.union_captures(P.captures(spark, str(tmp_path)), P.captures(spark, str(tmp_path))).count() == 6
 
 
+def test_flows_go_on_over_capture_files(spark, tmp_path):
+    from rivulet.operators import flow_manager, flows
+
+    frames = [ETH + ipv4(6, tcp(1, 80, f)) for f in (2, 16, 16, 16)]
+    (tmp_path / "a.pcap").write_bytes(capture(frames[:3]))
+    (tmp_path / "b.pcap").write_bytes(capture(frames[:2]))
+    p = P.captures(spark, str(tmp_path)).drop("file")
+    rn = sorted((r["seq"], r["rn"]) for r in flows.ordered(p).collect())
+    assert [n for _, n in rn] == [1, 2, 3, 4, 5] and len({s for s, _ in rn}) == 5 and rn[3][0] == 1 << P.FILE_BITS
+    assert flow_manager.infinite(p, 5).first()["outcome"] == "collected"
+
+
 def test_key_records_round_trip(spark):
     row = (0, 0, 0x0A0000FF, 0xFFFFFFFF, 65535, 53, 17, 40, None, False)
     df = spark.createDataFrame([row], P.PACKET)
