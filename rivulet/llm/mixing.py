@@ -26,8 +26,8 @@ MAX_PASSES = 3
 SHARD_BLOCKS, LEAST_SHARDS, MAX_SHARDS = 4_096, 16, 1_024
 #: Rows of the plan, at most: a row for each shard and source. With more sources there are fewer shards.
 PLAN_ROWS = 1 << 20
-#: Slots of a row of work, and rows of work in tasks of their own, at most.
-STEP, MOST_TASKS = 1 << 14, 4_096
+#: Slots of a row of work at most, slots of a task on average, and tasks at most.
+STEP, TASK_SLOTS, MOST_TASKS = 1 << 14, 1 << 12, 20_000
 #: Up to so many sources are sent to every executor; more are joined by a shuffle.
 BROADCAST_SOURCES = 20_000
 #: Documents of a source fall into this many ranges whose sums are added up first, so that no source is one task's.
@@ -217,7 +217,7 @@ def _mix(docs: DataFrame, block_words: int, seed: int) -> tuple[DataFrame, DataF
                     block[now] = permuted(at[now] % n_blocks, int(n_blocks), pass_key(seed, int(s), int(t)))
                 yield pd.DataFrame({"shard": shard, "slot": at, "s": s, "pass": turn, "block": block, "words": np.where(at == n_slots - 1, words_left, block_words)})
 
-    tasks = max(1, min(MOST_TASKS, int((-(-counts // STEP)).sum())))
+    tasks = max(1, min(MOST_TASKS, -(-total // TASK_SLOTS)))
     drawn = spread.repartition(tasks, "shard", "s", "first").mapInPandas(map_slots, "shard int, slot long, s int, pass long, block long, words long")
     # A row of `size` words touches the blocks of its first to its last word; one without words touches none.
     run = offsets(rows)
