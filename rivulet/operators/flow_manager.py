@@ -71,7 +71,7 @@ def fifo_bucket(rows: Iterator[tuple], slots: int, k: int, remove_at_k: bool = T
             yield f, "resident", e[1], e[2], e[0]
 
 
-def _replayed(p: DataFrame, rows: int, slots: int, k: int, remove_at_k: bool) -> DataFrame:
+def _replayed(p: DataFrame, rows: int, slots: int, k: int) -> DataFrame:
     """Rows of OUTCOME from (flow_id, seq, ts_us): the first k packets of each flow, through its bucket."""
     from pyspark.sql import Window
 
@@ -81,16 +81,33 @@ def _replayed(p: DataFrame, rows: int, slots: int, k: int, remove_at_k: bool) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         arrivals = chain.from_iterable(pdf[["bucket", "flow_id", "seq", "ts_us"]].itertuples(index=False, name=None) for pdf in batches)
-        out = chain.from_iterable(fifo_bucket((r[1:] for r in some), slots, k, remove_at_k) for _, some in groupby(arrivals, key=itemgetter(0)))
+        out = chain.from_iterable(fifo_bucket((r[1:] for r in some), slots, k) for _, some in groupby(arrivals, key=itemgetter(0)))
         while part := list(islice(out, 10_000)):
             yield pd.DataFrame(part, columns=["flow_id", "outcome", "seq", "ts_us", "n_pkts"])
 
     return dealt.mapInPandas(run, OUTCOME)
 
 
+def _by_rank(p: DataFrame, rows: int, slots: int, k: int) -> DataFrame:
+    """Rows of OUTCOME where collected flows keep their slots: then a flow leaves as the `slots`-th flow after it in its
+    bucket comes, whatever happens in between, so that ranks of arrival decide and nothing is replayed."""
+    from pyspark.sql import Window
+
+    nth = F.row_number().over(Window.partitionBy("flow_id").orderBy("seq"))
+    first = p.select("flow_id", "seq", "ts_us", nth.alias("rn")).where(F.col("rn") <= k)
+    flow = first.groupBy("flow_id").agg(F.array_sort(F.collect_list(F.struct("seq", "ts_us"))).alias("at")).withColumn("bucket", bucket("flow_id", rows, "fm"))
+    out = F.lead(F.element_at("at", 1), slots).over(Window.partitionBy("bucket").orderBy(F.element_at("at", 1)["seq"]))
+    e = flow.withColumn("out", out).withColumn("n", F.when(F.col("out").isNull(), F.size("at")).otherwise(F.size(F.filter("at", lambda x: x["seq"] < F.col("out.seq")))))
+    got, last = F.col("n") == k, F.element_at("at", -1)
+    outcome = F.when(got, "collected").when(F.col("out").isNull(), "resident").otherwise("evicted")
+    end = F.when(got | F.col("out").isNull(), last).otherwise(F.col("out"))
+    return e.select("flow_id", outcome.alias("outcome"), end["seq"].alias("seq"), end["ts_us"].alias("ts_us"), F.col("n").alias("n_pkts"))
+
+
 def evict_oldest(packets: DataFrame, rows: int, slots: int, k: int, remove_at_k: bool = True) -> DataFrame:
     """Rows of OUTCOME, one for each flow; with remove_at_k off flows that were collected have just that row."""
-    return _replayed(keyed(packets), rows, slots, k, remove_at_k)
+    p = keyed(packets)
+    return _replayed(p, rows, slots, k) if remove_at_k else _by_rank(p, rows, slots, k)
 
 
 def evict_timeout(packets: DataFrame, rows: int, slots: int, k: int, timeout_us: int | None = None) -> DataFrame:
@@ -104,7 +121,7 @@ def evict_timeout(packets: DataFrame, rows: int, slots: int, k: int, timeout_us:
     late = (F.col("gap_us") > timeout_us).cast("int")
     turn = F.sum(F.coalesce(late, F.lit(0))).over(Window.partitionBy("flow_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
     p = p.withColumn("turn", turn).withColumn("flow_id", F.when(F.col("turn") > 0, F.concat("flow_id", F.lit("+"), F.col("turn"))).otherwise(F.col("flow_id")))
-    return _replayed(p, rows, slots, k, False)
+    return _by_rank(p, rows, slots, k)
 
 
 def layer_rows(proportions: list[float], total: int, k: int) -> list[int]:
@@ -165,21 +182,30 @@ def hierarchical(packets: DataFrame, layers: list[int], slots: int, k: int) -> D
     return flows
 
 
-def new_flows_while_cached(packets: DataFrame, k: int) -> DataFrame:
-    """(flow_id, new_flows): of the flows that the unbounded manager collects, how many flows began while they waited.
+def new_flows_until(packets: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(flow_id, new_flows) of flows that left a manager: how many flows began between their first packet and their exit.
 
-    C counts the flows that have begun, and the number is C at the exit less C at the entry. C is a running count:
-    within stretches of packet numbers first, then over the stretches.
+    C counts the flows that have begun before a packet, and the number is C at the exit less C after the entry; the flow
+    that drives another one out isn't counted. C is a running count: within stretches of packet numbers first, then
+    over the stretches. Every manager admits a flow at its first packet, so one function does for all.
     """
     from pyspark.sql import Window
 
     from rivulet.operators.flows import STRETCH
 
-    p = ordered(packets).where(F.col("rn") <= k).withColumn("flow_id", flow_id()).withColumn("part", F.floor(F.col("seq") / STRETCH))
-    is_new = (F.col("rn") == 1).cast("long")
-    inside = F.sum(is_new).over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    sums = p.groupBy("part").agg(F.sum(is_new).alias("n"))
+    starts = packets.groupBy(flow_id().alias("flow_id")).agg(F.min("seq").alias("seq")).withColumn("begins", F.lit(1))
+    exits = outcomes.where("outcome <> 'resident'").select("flow_id", "seq", F.lit(0).alias("begins"))
+    p = starts.unionByName(exits).withColumn("part", F.floor(F.col("seq") / STRETCH))
+    # Exits come before the start at the same packet, which is the start of the flow that drove them out.
+    inside = F.sum("begins").over(Window.partitionBy("part").orderBy("seq", "begins").rowsBetween(Window.unboundedPreceding, 0))
+    sums = p.groupBy("part").agg(F.sum("begins").alias("n"))
     base = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     at = p.withColumn("inside", inside).join(base, "part").withColumn("c", F.col("inside") + F.col("base"))
-    ends = at.where((F.col("rn") == 1) | (F.col("rn") == k)).groupBy("flow_id").agg(F.max("rn").alias("rn"), (F.max("c") - F.min("c")).alias("new_flows"))
-    return ends.where(F.col("rn") == k).select("flow_id", "new_flows")
+    at_exit, at_start = (F.max(F.when(F.col("begins") == b, F.col("c"))) for b in (0, 1))
+    ends = at.groupBy("flow_id").agg(F.count("*").alias("n"), F.greatest(at_exit - at_start, F.lit(0)).alias("new_flows"))
+    return ends.where("n = 2").select("flow_id", "new_flows")
+
+
+def new_flows_while_cached(packets: DataFrame, k: int) -> DataFrame:
+    """(flow_id, new_flows): of the flows that the unbounded manager collects, how many flows began while they waited."""
+    return new_flows_until(packets, infinite(packets, k))

@@ -99,6 +99,20 @@ def sequence_features(packets: DataFrame, low: int, high: int) -> DataFrame:
     return p.groupBy(*KEY).agg(*out)
 
 
+def aggregate_matrix(packets: DataFrame, low: int, high: int) -> DataFrame:
+    """For each m in [low, high): counts of flags among the first m - 1 packets, five aggregates of the first m sizes and
+    of the first m - 1 gaps, in one pass over the packets."""
+    p = ordered(packets).where(F.col("rn") < high)
+    f, gap, tcp = F.col("flags"), F.col("gap_us") / 1e6, F.col("protocol") == 6
+    synack, pshrst = flag_set(f, SYN) * flag_set(f, ACK), F.greatest(flag_set(f, PSH), flag_set(f, RST))
+    out = []
+    for m in range(low, high):
+        seen = F.col("rn") <= m
+        out += [F.coalesce(F.sum(F.when((F.col("rn") < m) & tcp, x)), F.lit(-1)).alias(f"{name}_{m}") for x, name in ((synack, "count_synack"), (pshrst, "count_pshecerst"))]
+        out += _five(F.when(seen, F.col("size")), f"pk_size_{m}") + _five(F.when(seen, gap), f"iat_{m}")
+    return p.groupBy(*KEY).agg(*out)
+
+
 def flag_counts(packets: DataFrame, m: int) -> DataFrame:
     """Packets with SYN and ACK, and those with PSH or ECE or RST, among the first m - 1; -1 for other protocols.
 

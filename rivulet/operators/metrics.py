@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rivulet.functions.keys import uniform
 
-def resolve(truth: DataFrame, table: DataFrame, cms: DataFrame, manager: DataFrame, discarded: DataFrame, k: int) -> DataFrame:
+
+def resolve(truth: DataFrame, table: DataFrame, cms: DataFrame, manager: DataFrame, discarded: DataFrame, k: int, drop_both: bool = False, drop_missing: bool = False) -> DataFrame:
     """(flow_id, v, estimate, sector): discarded flows count as exact; else the table and the sketch, if it is there too;
-    else the sketch and what the manager holds below k; else the manager; else 0. Inputs are (flow_id, size)."""
+    else the sketch and what the manager holds below k; else the manager; else 0. Inputs are (flow_id, size). With
+    drop_both flows that are in the table and in the sketch go, with drop_missing those that are nowhere."""
     j = truth.select("flow_id", F.col("size").alias("v"))
     for name, df in (("ht", table), ("cms", cms), ("fm", manager), ("out", discarded)):
         j = j.join(df.select("flow_id", F.col("size").alias(name)), "flow_id", "left")
@@ -20,9 +23,26 @@ def resolve(truth: DataFrame, table: DataFrame, cms: DataFrame, manager: DataFra
         .otherwise(F.coalesce("fm", F.lit(0)))
     )
     sector = F.when(F.col("out").isNotNull(), "discarded").when(F.col("ht").isNotNull(), "ht").when(F.col("cms").isNotNull(), "cms").when(F.col("fm").isNotNull(), "fm").otherwise("none")
+    if drop_both:
+        j = j.where("out IS NOT NULL OR ht IS NULL OR cms IS NULL")
+    if drop_missing:
+        j = j.where("coalesce(out, ht, cms, fm) IS NOT NULL")
     return j.select("flow_id", "v", est.cast("long").alias("estimate"), sector.alias("sector"))
 
 
+def resolve_gaps(truth: DataFrame, heavy: DataFrame, mice: DataFrame, resident: DataFrame, drop_resident: bool = False) -> DataFrame:
+    """(flow_id, q, v, estimate, sector) of truth (flow_id, q, v): by the larger sketch, else the smaller one; resident
+    flows (flow_id) count as exact, or go. A flow that is in none of them is an error."""
+    j = truth.select("flow_id", "q", "v")
+    for name, df in (("heavy", heavy), ("mice", mice)):
+        j = j.join(df.select("flow_id", "q", F.col("value").alias(name)), ["flow_id", "q"], "left")
+    j = j.join(resident.select("flow_id", F.lit(True).alias("here")), "flow_id", "left")
+    sector = F.when(F.col("heavy").isNotNull(), "heavy").when(F.col("mice").isNotNull(), "mice").when(F.col("here"), "manager")
+    sure = F.when(sector.isNull(), F.raise_error(F.concat(F.lit("no estimate of flow "), F.col("flow_id")))).otherwise(sector)
+    out = j.select("flow_id", "q", "v", F.coalesce("heavy", "mice", F.when(F.col("here"), F.col("v"))).alias("estimate"), sure.alias("sector"))
+    return out.where("sector <> 'manager'") if drop_resident else out
+
+
 def _off() -> Column:
     return F.abs(F.col("v") - F.col("estimate"))
 
@@ -62,6 +82,18 @@ def rates(matrix: DataFrame) -> DataFrame:
     return matrix.select("*", over("tp", "fn").alias("tpr"), over("tn", "fp").alias("tnr"), over("fp", "tn").alias("fpr"), over("fn", "tp").alias("fnr"))
 
 
+def mean_rates(matrix: DataFrame) -> DataFrame:
+    """The rates of each row of a confusion table, such as one for each minute, as plain means."""
+    return rates(matrix).agg(*(F.avg(c).alias(c) for c in ("tpr", "tnr", "fpr", "fnr")))
+
+
+def rounded_map(rows: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
+    """Adds `value` of the table's row whose key is the same at three places; values are rounded to as many. Of rows
+    with the same rounded key the last one by key counts."""
+    t = table.groupBy(F.round(key, 3).alias("__key")).agg(F.round(F.max_by(value, key), 3).alias(value))
+    return rows.withColumn("__key", F.round(key, 3)).join(t, "__key", "left").drop("__key")
+
+
 def precision_recall_f1(matrix: DataFrame) -> DataFrame:
     p, r = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0)), F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0))
     return matrix.select(p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"))
@@ -93,5 +125,26 @@ def slowdown(flows: DataFrame, p: float = 99) -> DataFrame:
 
 
 def priority(flows: DataFrame, threshold: Column, k: int) -> DataFrame:
-    """0 below k packets, else 1 for mice and 2 for elephants."""
-    return flows.withColumn("priority", F.when(F.col("size") < k, 0).when(F.col("size") > threshold, 2).otherwise(1))
+    """0 below k packets, else 1 for mice and 2 for elephants, which are those at or above the threshold."""
+    return flows.withColumn("priority", F.when(F.col("size") < k, 0).when(F.col("size") >= threshold, 2).otherwise(1))
+
+
+def size_threshold(flows: DataFrame, q: float, k: int) -> DataFrame:
+    """(threshold): the floor-rank quantile of the sizes of flows with k packets or more, from counts of each size."""
+    h = flows.where(F.col("size") >= k).groupBy("size").agg(F.count("*").alias("n"))
+    run = h.select("size", F.sum("n").over(Window.orderBy("size")).alias("run"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    return run.where(F.col("run") >= F.floor(F.lit(q) * (F.col("total") - 1)) + 1).agg(F.min("size").alias("threshold"))
+
+
+def predicted_priority(flows: DataFrame, threshold: Column, k: int, heavy_tpr: float, mice_tpr: float) -> DataFrame:
+    """Priorities of an oracle that errs: an elephant turns mouse where the flow's draw is above heavy_tpr, and then what
+    is a mouse turns elephant where the same draw is above mice_tpr."""
+    u = uniform("flow_id", "priority")
+    first = F.when((F.col("priority") == 2) & (u > heavy_tpr), 1).otherwise(F.col("priority"))
+    both = F.when((F.col("turned") == 1) & (u > mice_tpr), 2).otherwise(F.col("turned"))
+    return priority(flows, threshold, k).withColumn("turned", first).withColumn("priority", both).drop("turned")
+
+
+def mean_slowdowns(results: DataFrame) -> DataFrame:
+    """(load, overall, elephants, mice) of a row for each load and iteration: means over the iterations."""
+    return results.groupBy("load").agg(*(F.avg(c).alias(c) for c in ("overall", "elephants", "mice")))

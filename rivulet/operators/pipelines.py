@@ -94,3 +94,14 @@ def gap_estimates(packets: DataFrame, outcomes: DataFrame, predicted: DataFrame,
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def routes(packets: DataFrame, outcomes: DataFrame, predicted: DataFrame, max_heavy: int) -> DataFrame:
+    """(seq, flow_id, route): where each packet goes as it comes. A flow's packets go to the manager up to that with
+    which it leaves it, and then to the larger or the smaller sketch, by the decision; evicted flows to the smaller."""
+    left = outcomes.where("outcome <> 'resident'").select("flow_id", F.col("seq").alias("decided"), "outcome")
+    collected = outcomes.where("outcome = 'collected'").join(predicted.select("flow_id", "predicted"), "flow_id")
+    big = admitted_elephants(collected, max_heavy).where("heavy_sketch").select("flow_id", F.lit("heavy").alias("sketch"))
+    decisions = left.join(big, "flow_id", "left").select("flow_id", "decided", F.coalesce("sketch", F.lit("mice")).alias("sketch"))
+    p = packets.select("seq", flow_id().alias("flow_id")).join(decisions, "flow_id", "left")
+    return p.select("seq", "flow_id", F.when(F.col("seq") > F.col("decided"), F.col("sketch")).otherwise("manager").alias("route"))

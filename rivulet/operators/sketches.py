@@ -95,6 +95,43 @@ def delete_keys(entries: DataFrame, keys: DataFrame) -> DataFrame:
     return entries.join(keys, "flow_id", "left_anti")
 
 
+def new_epoch(entries: DataFrame, packets: DataFrame, arrivals: DataFrame, tables: int, rows: int, slots: int) -> DataFrame:
+    """Tables (flow_id, table_idx, bucket, slot, size), slots from 1 in order, after an epoch of packets (flow_id, seq)
+    and of flows that are let in (flow_id, seq). Adds live.
+
+    All entries lose their live bit as the epoch starts. A flow's next packet sets it, and its count starts anew. Who
+    comes to a full bucket takes the place of its first entry, if that isn't live, and stands last. So beyond the free
+    slots the r-th arrival takes the r-th old entry, as long as that one hasn't been met and all before did so: a running
+    minimum decides, and nothing is replayed. Others go on to the next table.
+    """
+    met = packets.groupBy("flow_id").agg(F.min("seq").alias("first"), F.count("*").alias("hits"))
+    # Of a newcomer only packets from its arrival on count.
+    came = arrivals.select("flow_id", F.col("seq").alias("__at")).join(packets, "flow_id").where("seq >= __at").groupBy("flow_id").agg(F.count("*").alias("size"))
+    e = entries.join(met, "flow_id", "left")
+    w = Window.partitionBy("bucket").orderBy("seq")
+    left, out = arrivals.select("flow_id", "seq"), None
+    for t in range(tables):
+        here = e.where(F.col("table_idx") == t)
+        used = here.groupBy("bucket").agg(F.count("*").alias("used"))
+        at = left.withColumn("bucket", bucket("flow_id", rows, f"t{t}")).withColumn("nth", F.row_number().over(w))
+        at = at.join(used, "bucket", "left").fillna(0, ["used"]).withColumn("place", F.col("nth") - (slots - F.col("used")))
+        old = here.select("bucket", F.col("slot").alias("place"), F.coalesce("first", F.lit(1 << 62)).alias("met"))
+        free = ((F.col("place") <= 0) | F.coalesce(F.col("met") > F.col("seq"), F.lit(False))).cast("int")
+        pair = at.join(old, ["bucket", "place"], "left").withColumn("takes", F.min(free).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1)
+        new = pair.where("takes")
+        stay = here.join(new.select("bucket", F.col("place").alias("slot")), ["bucket", "slot"], "left_anti")
+        stay = stay.select("flow_id", "table_idx", "bucket", "slot", F.coalesce("hits", "size").alias("size"), F.col("hits").isNotNull().alias("live"))
+        put = new.join(came, "flow_id", "left").select("flow_id", F.lit(t).alias("table_idx"), "bucket", (F.col("used") + F.col("nth")).cast("int").alias("slot"), F.coalesce("size", F.lit(1)).alias("size"), F.lit(True).alias("live"))
+        out = stay.unionByName(put) if out is None else out.unionByName(stay).unionByName(put)
+        left = pair.where(~F.col("takes")).select("flow_id", "seq")
+    return out
+
+
+def dump_live(entries: DataFrame) -> DataFrame:
+    """(flow_id, size) of entries with the live bit."""
+    return entries.where("live").select("flow_id", "size")
+
+
 # -- logarithmic quantile sketch ---------------------------------------------------------------------------------------
 
 
@@ -133,6 +170,35 @@ class LogBins:
 ZERO = -1_000_000  # the bin of values below the range
 
 
+class MarginBins:
+    """Bins of a central range, with bins of their own for the margins of a wider range. A margin without bins or
+    without width has none, and its values go to the outermost bin of the centre. Bounds of the centre are margin values.
+    """
+
+    def __init__(self, most: float, least: float, n: int, widest: float, narrowest: float, left: int = 0, right: int = 0) -> None:
+        self.most, self.least, self.widest, self.narrowest = most, least, widest, narrowest
+        self.center = LogBins(most, least, n)
+        self.left = LogBins(least, narrowest, left) if left > 0 and least > narrowest else None
+        self.right = LogBins(widest, most, right) if right > 0 and widest > most else None
+
+    def part(self, x: Column) -> Column:
+        """zero, left, right or center."""
+        part = F.when(x < self.narrowest, "zero")
+        if self.left:
+            part = part.when(x <= self.least, "left")
+        if self.right:
+            part = part.when((x >= self.most) & (x <= self.widest), "right")
+        return part.otherwise("center")
+
+    def bin(self, x: Column) -> Column:
+        out = F.when(x < self.narrowest, ZERO)
+        if self.left:
+            out = out.when(x <= self.least, self.left.bin(x))
+        if self.right:
+            out = out.when((x >= self.most) & (x <= self.widest), self.right.bin(x))
+        return out.otherwise(self.center.bin(x)).cast("int")
+
+
 def freeze_seq(values: DataFrame, bins: LogBins, bits: int) -> DataFrame:
     """Adds bin, and froze: the seq at which the flow's sketch froze, one bin being full; later values don't count."""
     v = values.withColumn("bin", F.when(F.col("x") < bins.least, ZERO).otherwise(bins.bin(F.col("x"))))

@@ -7,12 +7,13 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, QuantileDiscretizer, VarianceThresholdSelector, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rivulet.functions.keys import uniform
 from rivulet.operators import metrics, models
 
 
@@ -162,3 +163,37 @@ class Continual:
             if minute % self.every == 0:
                 model = self.train(buffer)
         return self.history
+
+
+def distill(teacher: DataFrame, features: list[str], depth: int = 5, rounds: int = 10, share: float = 0.7, keep: int = 3, seed: int = 42) -> tuple[DecisionTreeClassificationModel, DataFrame]:
+    """A small tree that explains a classifier: (tree, report) of rows (flow_id, features, predicted).
+
+    In each round a tree learns what the teacher says of a share of the rows; the rest tells its fidelity, the F1 of its
+    answers against the teacher's. The `keep` most faithful trees answer for the rows held out of all of them, and the
+    tree that agrees best with the others, on average, is the explanation; ties by fidelity. The report has a row for
+    each round: round, fidelity, agreement (null where the tree wasn't kept).
+    """
+    rows = VectorAssembler(inputCols=features, outputCol="__x").transform(teacher.select("flow_id", "predicted", *features))
+    u = uniform("flow_id", f"test{seed}")
+    train, test = rows.where(u < share), rows.where(u >= share).persist()
+    students = []
+    for k in range(rounds):
+        part = train.where(uniform("flow_id", f"round{seed}-{k}") < share)
+        tree = DecisionTreeClassifier(featuresCol="__x", labelCol="predicted", maxDepth=depth, seed=seed + k).fit(part)
+        students.append((k, tree, _f1(tree.transform(test), "predicted", "prediction")))
+    best = sorted(students, key=lambda s: (-s[2], s[0]))[:keep]
+    answers = test
+    for k, tree, _ in best:
+        answers = tree.copy().setPredictionCol(f"__p{k}").setProbabilityCol(f"__q{k}").setRawPredictionCol(f"__r{k}").transform(answers)
+    agreed = {}
+    for k, _, _ in best:
+        agreed[k] = sum(_f1(answers, f"__p{j}", f"__p{k}") for j, _, _ in best) / len(best)
+    test.unpersist()
+    chosen = max(best, key=lambda s: (agreed[s[0]], s[2], -s[0]))
+    report = [(k, f, agreed.get(k)) for k, _, f in students]
+    return chosen[1], teacher.sparkSession.createDataFrame(report, "round int, fidelity double, agreement double")
+
+
+def _f1(rows: DataFrame, truth: str, answer: str) -> float:
+    pairs = rows.select(F.col(truth).cast("int").alias("heavy"), F.col(answer).cast("int").alias("predicted"))
+    return metrics.precision_recall_f1(metrics.confusion(pairs)).first()["f1"]

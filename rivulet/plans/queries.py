@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rivulet.functions import keys
 from rivulet.functions.keys import KEY, flow_id
 from rivulet.operators import flow_manager, flows, labels, metrics, models, pipelines, sketches
-from rivulet.plans import sizing
 from rivulet.sources.packets import key_records, packets, table
 from rivulet.streaming import flows as streams
 
@@ -279,10 +278,10 @@ def seq_agg_features(spark, d):
     return f.select(fk(), *(F.round(c, dig(c)).alias(c) for c in f.columns if c not in KEY))
 
 
-_BIT = lambda b: f"CAST(flags >= 64 OR (flags & {b}) <> 0 AS INTEGER)"
+BIT = lambda b: f"CAST(flags >= 64 OR (flags & {b}) <> 0 AS INTEGER)"
 
 
-@query(f"SELECT flow_id, CAST(CASE WHEN any_value(protocol) = 6 THEN sum({_BIT(2)} * {_BIT(16)}) ELSE -1 END AS BIGINT) AS count_synack, CAST(CASE WHEN any_value(protocol) = 6 THEN sum(greatest({_BIT(8)}, {_BIT(4)})) ELSE -1 END AS BIGINT) AS count_pshecerst FROM ordered WHERE rn < 6 GROUP BY flow_id")
+@query(f"SELECT flow_id, CAST(CASE WHEN any_value(protocol) = 6 THEN sum({BIT(2)} * {BIT(16)}) ELSE -1 END AS BIGINT) AS count_synack, CAST(CASE WHEN any_value(protocol) = 6 THEN sum(greatest({BIT(8)}, {BIT(4)})) ELSE -1 END AS BIGINT) AS count_pshecerst FROM ordered WHERE rn < 6 GROUP BY flow_id")
 def flag_counts(spark, d):
     f = flows.flag_counts(packets(spark, d), 6)
     return f.select(fk(), F.col("count_synack").cast("long").alias("count_synack"), F.col("count_pshecerst").cast("long").alias("count_pshecerst"))
@@ -384,15 +383,10 @@ def slowdown_by_load(spark, d):
     return s.groupBy((F.col("size") % 3).alias("load")).agg(r6(F.avg("slowdown"), "slowdown"))
 
 
-@query("t AS (SELECT list_sort(list(size))[CAST(floor(0.99 * (count(*) - 1)) AS INTEGER) + 1] AS threshold FROM sizes WHERE size >= 5) SELECT flow_id, CASE WHEN size < 5 THEN 0 WHEN size > threshold THEN 2 ELSE 1 END AS priority FROM sizes, t")
+@query("t AS (SELECT list_sort(list(size))[CAST(floor(0.99 * (count(*) - 1)) AS INTEGER) + 1] AS threshold FROM sizes WHERE size >= 5) SELECT flow_id, CASE WHEN size < 5 THEN 0 WHEN size >= threshold THEN 2 ELSE 1 END AS priority FROM sizes, t")
 def flow_priority(spark, d):
-    # The rank, not interpolated, of a histogram: sizes are far fewer than flows.
-    from pyspark.sql import Window
-
     s = sized(spark, d)
-    h = s.where("size >= 5").groupBy("size").agg(F.count("*").alias("n"))
-    run = h.select("size", F.sum("n").over(Window.orderBy("size")).alias("run"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    t = run.where(F.col("run") >= F.floor(F.lit(0.99) * (F.col("total") - 1)) + 1).agg(F.min("size").alias("threshold"))
+    t = metrics.size_threshold(s, 0.99, 5)
     return metrics.priority(s.crossJoin(F.broadcast(t)), F.col("threshold"), 5).select("flow_id", "priority")  # a single row
 
 
@@ -452,8 +446,6 @@ def zeroed_evictions(spark, d):
 
 @query("SELECT flow_id, CAST(dense_rank() OVER (ORDER BY protocol) AS INTEGER) AS grp FROM sizes")
 def group_ids(spark, d):
-    from pyspark.sql import Window
-
     s = sized(spark, d)
     ids = s.select("protocol").distinct().select("protocol", F.dense_rank().over(Window.orderBy("protocol")).alias("grp"))
     return s.join(F.broadcast(ids), "protocol").select("flow_id", "grp")  # a row for each protocol number, 256 at most
@@ -595,39 +587,12 @@ def fm_new_flows_while_cached(spark, d):
     return flow_manager.new_flows_while_cached(packets(spark, d), 5)
 
 
-@query()
-def evict_fifo_outcome(spark, d):
-    return flow_manager.evict_oldest(packets(spark, d), 16, 4, 5)
-
-
-@query()
-def evict_timeout_outcome(spark, d):
-    return flow_manager.evict_timeout(packets(spark, d), 16, 4, 5)
-
-
-@query()
-def hierarchical_outcome(spark, d):
-    return flow_manager.hierarchical(packets(spark, d), flow_manager.layer_rows([0.5, 0.25, 0.15, 0.1], 32, 5), 4, 5)
-
-
-@query()
-def eviction_stages(spark, d):
-    """Elephants by how many packets they had when they left the manager."""
-    o = flow_manager.evict_oldest(packets(spark, d), 16, 4, 5).join(labelled(spark, d).where("heavy = 1").select("flow_id"), "flow_id", "left_semi")
-    return o.groupBy("outcome", "n_pkts").agg(F.count("*").alias("n"))
-
-
 @query("SELECT flow_id, round(avg(size), 6) AS mean_size, round(stddev_pop(size), 4) AS std_size, round(coalesce(avg(gap_us / 1e6), 0), 4) AS mean_iat FROM ordered WHERE rn <= 5 GROUP BY flow_id HAVING count(*) = 5")
 def stream_first5_features(spark, d):
     f = streams.drain(streams.first_k_features(streams.packet_stream(spark, d), 5), streams.work_dir(spark))
     return f.select("flow_id", r6("mean_size", "mean_size"), F.round("std_size", 4).alias("std_size"), F.round("mean_iat", 4).alias("mean_iat"))
 
 
-@query()
-def stream_fifo_outcome(spark, d):
-    return streams.drain(streams.bounded_manager(streams.packet_stream(spark, d), 16, 4, 5), streams.work_dir(spark))
-
-
 @query("SELECT flow_id, CAST(sum(size) AS BIGINT) AS size FROM sizes GROUP BY flow_id")
 def stream_day_sizes(spark, d):
     """Daily sizes of the stream, added up; the complete table is written by the last batch."""
@@ -755,11 +720,6 @@ def fnr_to_fpr(spark, d):
     return models.rate_table(labelled(spark, d), 0.08, [0.0, 0.1, 0.2, 0.5]).select("fnr", r6("fpr", "fpr"))
 
 
-@query()
-def synthetic_scores(spark, d):
-    return models.synthetic_scores(labelled(spark, d), 0.5).select("flow_id", "proba")
-
-
 # -- pipelines and errors ----------------------------------------------------------------------------------------------
 
 CONFIG = pipelines.FseConfig(5, R, C, T, TR, TS)
@@ -953,21 +913,6 @@ def fse_totals(spark, d):
     return r.agg(F.count("*").alias("flows"), F.sum("v").alias("packets"), F.sum(F.when(F.col("sector") == "ht", F.col("v"))).alias("in_table"))
 
 
-@query()
-def memory_reports(spark, d):
-    rows = [(name, mb, k, int(v)) for name, mb in (("caida", 1.0), ("mawi", 1.5), ("uni", 0.02)) for k, v in sizing.memory_report(sizing.flow_sizes(mb, sizing.trace_of(name))).items()]
-    return spark.createDataFrame(rows, "trace string, budget_mb double, part string, amount long")
-
-
-@query()
-def fse_fifo_errors(spark, d):
-    """Errors of the size pipeline behind the bounded manager: evicted flows are counted by the sketch."""
-    p = packets(spark, d)
-    s = pipelines.sizes(p)
-    e = pipelines.estimate_sizes(s, flow_manager.evict_oldest(p, 16, 4, 5), _truth(spark, d), CONFIG)
-    return _errors(metrics.resolve(s, e.table, e.cms, e.manager, e.discarded, 5))
-
-
 # -- the same sizes over another table ---------------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from rivulet.plans.queries import ORACLE, QUERIES
+from rivulet.plans.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
