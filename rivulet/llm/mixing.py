@@ -14,10 +14,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import WORD, cut, table
+from rivulet.llm.common import WORD, cut, small_batches, table
 
 BLOCK_WORDS = 256
 #: No source is taken more often than this.
@@ -196,14 +197,17 @@ def _mix(docs: DataFrame, block_words: int, seed: int) -> tuple[DataFrame, DataF
     blocks = -(-sizes // block_words)
     asked = [slots_for(int(min(round(t), MAX_PASSES * n)), int(n), block_words, seed, i) for i, (t, n) in enumerate(zip(target, sizes, strict=True))]
     slots, last = np.array([n for n, _ in asked], np.int64), [w for _, w in asked]
-    known = spark.createDataFrame([(i, x, int(n), float(t)) for i, ((x, n), t) in enumerate(zip(sources, target, strict=True))], "__s int, __source string, source_size long, target double")
+    # Sent by Arrow: lists would start plain Python workers on the executors, which stay beside those of pandas.
+    known = {"__s": pa.array(np.arange(len(sources)), pa.int32()), "__source": pa.array([x for x, _ in sources], pa.string()), "source_size": pa.array(sizes, pa.int64())}
+    known = spark.createDataFrame(pa.table(known | {"target": pa.array(target, pa.float64())}))
     rows = cut(_numbered(rows, known), "sourced")
     total = int(slots.sum())
     shards = max(1, min(MAX_SHARDS, PLAN_ROWS // max(1, len(sources)), max(LEAST_SHARDS, -(-total // SHARD_BLOCKS)), total))
     counts = draws(slots, shards, seed)
     starts = np.cumsum(counts, 0) - counts
-    plan = [(s, int(i), int(starts[s, i]), int(counts[s, i]), int(blocks[i]), int(slots[i]), int(last[i])) for s in range(shards) for i in np.flatnonzero(counts[s])]
-    plan = spark.createDataFrame(plan, "shard int, s int, first long, n long, blocks long, slots long, last long")
+    shard, at = np.nonzero(counts)
+    plan = {"shard": shard.astype(np.int32), "s": at.astype(np.int32), "first": starts[shard, at], "n": counts[shard, at]}
+    plan = spark.createDataFrame(pa.table(plan | {"blocks": blocks[at], "slots": slots[at], "last": np.array(last, np.int64)[at]}))
     spread = plan.select("shard", "s", "blocks", "slots", "last", "first", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / STEP))).alias("k"))
     spread = spread.select("shard", "s", "blocks", (F.col("first") + F.col("k") * STEP).alias("first"), F.least(F.lit(STEP).cast("long"), F.col("n") - F.col("k") * STEP).alias("n"), "slots", "last")
 
@@ -262,6 +266,7 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) ->
 
     text has the words taken, n_chars (where there is such a column) its length. Documents without words are in no block.
     """
+    small_batches(docs.sparkSession)
     _, pieces, drawn, known = _mix(docs, block_words, seed)
     used = pieces.join(drawn.select("s", "block", "pass", "words"), ["s", "block"]).withColumn("n", F.least("n", F.col("words") - F.col("at"))).where("n > 0")
     got = used.groupBy("s", "start", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "n"))).alias("found"))
