@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import release, table
+from rivulet.llm.common import release, small_batches, table
 
 #: Rank of a pair that is no token.
 NONE = np.int64(1 << 40)
@@ -274,6 +274,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
     one that is named as `out` already is replaced."""
     from pyspark.sql import types as T
 
+    small_batches(docs.sparkSession)
     keep = [f for f in docs.schema.fields if f.name != out]
     schema = T.StructType([*keep, T.StructField(out, T.ArrayType(T.IntegerType()))])
 
@@ -290,7 +291,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
                 part = batch.slice(a, b - a)
                 columns = [part.column(part.schema.get_field_index(f.name)) for f in keep]
                 yield pa.RecordBatch.from_arrays([*columns, ids], names=[*(f.name for f in keep), out])
-        bpe.forget()
+        _READY.clear()  # its tables are made anew in a sixth of a second, and the process lives on
+        del bpe
         release()
 
     return docs.mapInArrow(run, schema)

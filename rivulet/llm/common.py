@@ -73,6 +73,17 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+#: Bytes of an Arrow batch between Spark and its Python workers, in which whole texts go.
+BATCH_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes: 10,000 rows of texts may be more than a worker holds. A setting that is there stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Writes `df` to the shared folder and reads it back: ends its lineage, survives lost executors, runs once."""
     spark = df.sparkSession

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import cut, release, table
+from rivulet.llm.common import cut, release, small_batches, table
 from rivulet.llm.components import connected_components, forest
 
 WORDS, SIMILARITY = 5, 75  # per cent
@@ -546,6 +546,7 @@ def _is_large(most: int):
 def classes_and_links(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, group_shingles: int = GROUP_SHINGLES, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sets, classes, links): rows (doc_id, th, n, key), th a hash of the text; classes (key, rep, n, node), rep the least id; links (src, dst) of reps
     that connect all that are connected."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     both = cut(texts.withColumn("th", F.xxhash64("text")).mapInPandas(_forgetting(_sets_and_counts(words)), "row boolean, doc_id long, th long, n long, key binary, node long"), "sets")
     sets = both.where(~F.col("row")).drop("row")

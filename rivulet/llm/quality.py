@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.llm.common import release, table
+from rivulet.llm.common import release, small_batches, table
 
 #: Labelled rows that the trees are fitted on, at most: a sample by hash of ids, the bound of this operator.
 FIT_ROWS = 20_000
@@ -164,6 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Trees:
 
 def scored(docs: DataFrame, trees: Trees, out: str = "score") -> DataFrame:
     """Adds `out`, the score of each text by its statistics alone; null texts count as empty. A column of that name is replaced."""
+    small_batches(docs.sparkSession)
     keep = [f for f in docs.schema.fields if f.name != out]
     schema = T.StructType([*keep, T.StructField(out, T.DoubleType())])
 
