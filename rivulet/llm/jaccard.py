@@ -28,7 +28,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import cut, release, small_batches, table
@@ -49,9 +49,9 @@ LEADERS = 4
 SPARE = 10
 #: Prefix shingles that a task compares at once, about; each document's fall into at least LEAST_BUCKETS parts.
 BUCKET_SHINGLES, LEAST_BUCKETS = 1_000_000, 64
-#: Candidate documents, and those to drop, of a few numbers each, that are sent to all executors; more are joined by a
-#: shuffle.
-BROADCAST_ROWS = 500_000
+#: Bits of the filter by which texts that a join can't need are told before any are moved, and those in a row of it.
+#: It is what executors get of the candidate documents and of those to drop; its size is the same for any input.
+FILTER_BITS, BITS_IN_ROW = 25, 1 << 15
 #: The cost factor of DivideSkip by which lists are split into long and short.
 MU = 0.0085
 #: Documents in an entry of an inverted list.
@@ -501,11 +501,25 @@ def _search_groups(words: int, similarity: int):
     return run
 
 
+def _may_match(rows: DataFrame, key: Column, keys: DataFrame, of: Column) -> DataFrame:
+    """`rows` with a column __may: false only where `key`, a hash of each row, is none of the hashes `of` in `keys`.
+
+    A bitmap of hashes is sent to the executors, not the keys, so the driver holds as much of it whatever their number.
+    """
+    bit = of.bitwiseAND((1 << FILTER_BITS) - 1)
+    bits = keys.select(F.floor(bit / BITS_IN_ROW).alias("__row"), bit.bitwiseAND(BITS_IN_ROW - 1).alias("at")).groupBy("__row").agg(F.bitmap_construct_agg("at").alias("__bits"))
+    met = rows.withColumn("__bit", key.bitwiseAND((1 << FILTER_BITS) - 1)).join(F.broadcast(cut(bits, "filter")), F.floor(F.col("__bit") / BITS_IN_ROW) == F.col("__row"), "left")
+    at = F.col("__bit").bitwiseAND(BITS_IN_ROW - 1)
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.call_function("shiftright", byte, at.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1, F.lit(False))
+    return met.select(*rows.columns, may.alias("__may"))
+
+
 def _search_texts(texts: DataFrame, work: DataFrame, words: int, similarity: int) -> DataFrame:
     """Links within each (comp, a, b) of `work`, rows (comp, a, b, label, doc_id)."""
     work = cut(work, "work")
-    small = work.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    full = texts.join(F.broadcast(work) if small else work, "doc_id").select("comp", "a", "b", "label", "doc_id", "text")
+    some = _may_match(texts, F.xxhash64("doc_id"), work, F.xxhash64("doc_id")).where("__may")
+    full = some.join(work, "doc_id").select("comp", "a", "b", "label", "doc_id", "text")
     return full.repartition("comp", "a", "b").sortWithinPartitions("comp", "a", "b", "doc_id").mapInPandas(_forgetting(_search_groups(words, similarity)), "src long, dst long")
 
 
@@ -600,6 +614,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     return out.select("doc_id", F.col("n").alias("n_shingles"), linked.alias("component_id"))
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of `docs` whose (doc_id, hash of the text) isn't in `gone`, rows (__id, __gone)."""
+    marked = _may_match(docs, F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")), gone, F.xxhash64("__id", "__gone"))
+    some = marked.where("__may").drop("__may")
+    kept = some.join(gone, (some["doc_id"] == gone["__id"]) & (F.xxhash64(some["text"]) == gone["__gone"]), "left_anti")
+    return marked.where("not __may").drop("__may").unionByName(kept)
+
+
 def one_of_each(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """One row of each component of texts: that with its least id. Of rows that repeat an id and a set, one stays.
 
@@ -614,9 +636,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARIT
     other = mine.join(twice.select("doc_id", "key", "one"), ["doc_id", "key"]).where("th <> one").select("doc_id", "th")
     gone = cut(mine.where("doc_id <> component").select("doc_id", "th").union(other).distinct().select(F.col("doc_id").alias("__id"), F.col("th").alias("__gone")), "dropped")
     text = F.xxhash64("text")
-    # Sent to the executors while they are few, so that texts aren't moved for them; beyond that a shuffle.
-    small = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    kept = docs.join(F.broadcast(gone) if small else gone, (docs["doc_id"] == gone["__id"]) & (text == gone["__gone"]), "left_anti")
+    kept = _without(docs, gone)
     if twice.isEmpty():
         return kept.select(*docs.columns)
     again = twice.select(F.col("doc_id").alias("__id"), F.col("one").alias("__gone"))

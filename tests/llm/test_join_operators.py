@@ -146,6 +146,19 @@ def test_jaccard_one_of_each_by_text(spark):
     assert sorted((str(r["doc_id"]), (r["text"] or "").lower()) for r in got) == sorted([("3", a), ("7", b), ("8", ""), ("8", ""), ("None", a), ("9", "")])
 
 
+def test_jaccard_sends_no_row_for_each_document(spark, monkeypatch):
+    # What goes to the executors is a bitmap, not the documents to drop; a short one lets others through, which stay.
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(9))
+    rows = [(k, text(k // 3), "s") for k in range(300)] + [(None, text(1), "s"), (900, None, "s"), (901, " ", "s")]
+    want = sorted([(str(k), text(k // 3)) for k in range(0, 300, 3)] + [("None", text(1)), ("900", None), ("901", " ")], key=str)
+    for bits in (jaccard.FILTER_BITS, 15, 4):
+        monkeypatch.setattr(jaccard, "FILTER_BITS", bits)
+        kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id int, text string, source string"))
+        assert sorted(((str(r["doc_id"]), r["text"]) for r in kept.collect()), key=str) == want
+        sent = [x for x in kept._jdf.queryExecution().optimizedPlan().toString().splitlines() if "strategy=broadcast" in x]
+        assert sent and all("LeftOuter" in x and "__row" in x for x in sent), sent
+
+
 # -- spherical caps ----------------------------------------------------------------------------------------------------
 VECTORS = "vec_id long, embedding array<float>, label int, cell long, n_links int"
 
